@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, toxicity
+from . import chat, decontaminate, language_id, licenses, packing, toxicity, warc
 
-QUERIES = {"op1_toxicity": toxicity.op1, "op10_language_id": language_id.op10}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_warc": warc.op2,
+    "op4_packing": packing.op4,
+    "op5_decontamination": decontaminate.op5,
+    "op7_chat_format": chat.op7,
+    "op9_license_scan": licenses.op9,
+    "op10_language_id": language_id.op10,
+}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE2, "op5_decontamination": decontaminate.ORACLE5, "op7_chat_format": chat.ORACLE7, "op9_license_scan": licenses.ORACLE9}
