@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, licenses, packing, toxicity, warc
+from . import chat, decontaminate, fingerprint, language_id, licenses, near_dedup, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_warc": warc.op2,
+    "op3_fingerprint": fingerprint.op3,
     "op4_packing": packing.op4,
     "op5_decontamination": decontaminate.op5,
+    "op6_near_dedup": near_dedup.op6,
     "op7_chat_format": chat.op7,
     "op9_license_scan": licenses.op9,
     "op10_language_id": language_id.op10,
