@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, language_id, licenses, near_dedup, packing, toxicity, warc
+from . import chat, decontaminate, fingerprint, hidden_markov, language_id, licenses, near_dedup, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5,
     "op6_near_dedup": near_dedup.op6,
     "op7_chat_format": chat.op7,
+    "op8_hidden_markov": hidden_markov.op8,
     "op9_license_scan": licenses.op9,
     "op10_language_id": language_id.op10,
 }
