@@ -5,13 +5,17 @@ words has its whole sequence as its one element. Documents with the same set are
 smallest id goes on. Its signature has MINIMA minima of multiply-add hashes; ROWS of them make a band, and documents
 that share a band are candidates. At a similarity of 0.75 all 32 bands of 4 miss a pair with a probability of 6e-6.
 
-Links are found in two rounds, without all pairs of a band's bucket:
-1. each document is paired with the smallest id of each of its buckets; of these the two with the most alike
-   signatures are compared on full sets, and the components of the links that hold are taken;
-2. in each bucket that still has more than one component, documents of different components are compared by
-   signature; pairs whose signatures agree in SURE of all places or more are compared on full sets. (Pairs of one
-   component need no further link.) Large buckets are cut into blocks, so that no task holds one whole.
-SURE lies 4.4 standard deviations under 0.75, so it loses one true pair in 10**5; every link is confirmed on full sets.
+A document also has an odd sketch: PARITIES bits, each the parity of the number of its shingles that hash to it. Two
+sketches differ in at most as many bits as the sets have unequal shingles, and a similarity of 0.75 allows at most
+(|A| + |B|) / 7 of those; so a pair whose sketches differ in more can be dropped without loss. Pairs are compared on full
+sets only if they pass this and their signatures agree in SURE of all places or more. SURE lies 4.4 standard deviations
+under 0.75, so it loses one true pair in 10**5; every link is confirmed on full sets.
+
+Links are found in rounds, without all pairs of a band's bucket; after each the components of the links so far are taken:
+1. each document with the smallest id of each of its buckets, the two most alike of them;
+2. in each bucket that still has more than one component, each document with the most alike one of each other component;
+3. in each such bucket, all pairs of different components that pass the two tests.
+Pairs of one component need no further link. Large buckets are cut into blocks, so that no task holds one whole.
 
 Defined results: null and empty texts, or those of white space, have an empty set and no link; null ids are never
 linked; rows with equal ids are one document with the links of all; other columns are not read.
@@ -32,6 +36,9 @@ from .components import connected
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 MINIMA, ROWS = 128, 4
 SURE = 0.58
+PARITIES = 2048
+#: A similarity of NUMERATOR / DENOMINATOR leaves at most (|A| + |B|) / ODD_LIMIT unequal shingles.
+ODD_LIMIT = (DENOMINATOR + NUMERATOR) / (DENOMINATOR - NUMERATOR)
 BATCH_BYTES = 1 << 20
 #: Documents of one block of a bucket, and of one group of pairs with the same first document.
 BLOCK, GROUP = 1000, 200
@@ -90,15 +97,17 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(len(pdf), np.int64)
         keys = np.zeros((2, len(pdf)), np.uint64)
         signs: list[bytes | None] = [None] * len(pdf)
+        odd: list[bytes | None] = [None] * len(pdf)
         if len(hashes):
             for d in np.flatnonzero(np.diff(at)):
                 own = np.unique(hashes[at[d] : at[d + 1]])
                 n[d] = len(own)
                 keys[0, d] = shared.mix(own).sum(dtype=np.uint64)
                 keys[1, d] = shared.mix(own ^ STEPS[1]).sum(dtype=np.uint64)
+                odd[d] = np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
             for d, s in zip(np.flatnonzero(np.diff(at)), signatures(hashes, at), strict=True):
                 signs[d] = s.tobytes()
-        yield pd.DataFrame({"_id": pdf["_id"], "_n": n, "_k1": keys[0].view(np.int64), "_k2": keys[1].view(np.int64), "_sig": signs})
+        yield pd.DataFrame({"_id": pdf["_id"], "_n": n, "_k1": keys[0].view(np.int64), "_k2": keys[1].view(np.int64), "_sig": signs, "_odd": odd})
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,44 +154,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, group: int = GROUP) -> DataFram
     return met.repartition("_a", "_c").sortWithinPartitions("_a", "_c", "_place").select("_a", "_c", "_doc", "_set").mapInPandas(_confirm, "a long, b long")
 
 
-def _bucket_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components with like signatures, in each run of rows of one bucket and pair of blocks."""
-    for pdf in shared.runs(batches, ["_h", "_i", "_j"]):
-        sig = np.frombuffer(b"".join(pdf["_sig"]), np.uint16).reshape(-1, MINIMA)
-        rep, comp, block = (pdf[c].to_numpy() for c in ("_rep", "_comp", "_block"))
-        key = np.stack([pdf[c].to_numpy() for c in ("_h", "_i", "_j")])
-        edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), len(pdf)]
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            cross = key[1, x] != key[2, x]
-            for k in range(x, y, 64):
-                some = slice(k, min(k + 64, y))
-                ok = comp[some, None] != comp[None, x:y]
-                ok &= rep[some, None] < rep[None, x:y]
-                if cross:
-                    ok &= block[some, None] != block[None, x:y]
-                p, q = np.nonzero(ok)
-                for z in range(0, len(p), 1 << 14):
-                    pz, qz = p[z : z + (1 << 14)] + k, q[z : z + (1 << 14)] + x
-                    good = (sig[pz] == sig[qz]).sum(1) >= SURE * MINIMA
-                    found_a.append(rep[pz[good]])
-                    found_b.append(rep[qz[good]])
-        yield pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
+def _bucket_pairs(every: bool):
+    """Pairs of different components that pass the tests, in each run of rows of one bucket and pair of blocks.
+
+    Unless `every`, a document is paired with one document of each other component only, that with the most alike sketch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in shared.runs(batches, ["_h", "_i", "_j"]):
+            sig, odd = sketches(pdf["_sig"], pdf["_odd"])
+            rep, comp, block, n = (pdf[c].to_numpy() for c in ("_rep", "_comp", "_block", "_n"))
+            key = np.stack([pdf[c].to_numpy() for c in ("_h", "_i", "_j")])
+            edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), len(pdf)]
+            found = [np.zeros((2, 0), np.int64)]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                cross = key[1, x] != key[2, x]
+                for k in range(x, y, 32):
+                    some = slice(k, min(k + 32, y))
+                    ok = (comp[some, None] != comp[None, x:y]) & (rep[some, None] < rep[None, x:y])
+                    if cross:
+                        ok &= block[some, None] != block[None, x:y]
+                    if not ok.any():
+                        continue
+                    unlike = np.bitwise_count(odd[some, None] ^ odd[None, x:y]).sum(2, dtype=np.int64)
+                    ok &= unlike * ODD_LIMIT <= n[some, None] + n[None, x:y]
+                    p, q = np.nonzero(ok)
+                    gap = unlike[p, q] / (n[p + k] + n[q + x])
+                    p, q = p + k, q + x
+                    good = (sig[p] == sig[q]).mean(1) >= SURE
+                    p, q, gap = p[good], q[good], gap[good]
+                    if not every:
+                        order = np.lexsort((rep[q], gap, comp[q], p))
+                        p, q = p[order], q[order]
+                        new = np.ones(len(p), bool)
+                        new[1:] = (p[1:] != p[:-1]) | (comp[q[1:]] != comp[q[:-1]])
+                        p, q = p[new], q[new]
+                    found.append(np.stack([rep[p], rep[q]]))
+            a, b = np.concatenate(found, 1)
+            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return run
+
+
+def sketches(sig: pd.Series, odd: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(sig), np.uint8).reshape(-1, MINIMA), np.frombuffer(b"".join(odd), np.uint64).reshape(-1, PARITIES // 64)
 
 
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id and kept."""
     own = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    described = shared.written(own.mapInPandas(_describe, "_id long, _n long, _k1 long, _k2 long, _sig binary"), "signatures")
-    classes = described.where("_n > 0 AND _id IS NOT NULL").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep"), F.min_by("_sig", "_id").alias("_sig"))
+    described = shared.written(own.mapInPandas(_describe, "_id long, _n long, _k1 long, _k2 long, _sig binary, _odd binary"), "signatures")
+    classes = described.where("_n > 0 AND _id IS NOT NULL").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep"), F.min_by(F.struct("_sig", "_odd"), "_id").alias("_s")).select("_k1", "_k2", "_n", "_rep", "_s._sig", "_s._odd")
     classes = shared.written(classes, "classes")
     buckets = shared.written(classes.select("_rep", "_sig").mapInPandas(_band_rows, "_h long, _rep long"), "bands")
     # Buckets of several documents; of those with the same documents one is enough.
     shared_by = buckets.groupBy("_h").agg(F.count("*").alias("_many"), F.min("_rep").alias("_center"), F.sum(F.xxhash64("_rep").cast("decimal(38,0)")).alias("_who")).where("_many > 1")
     shared_by = shared_by.groupBy("_many", "_center", "_who").agg(F.min("_h").alias("_h"))
     members = shared.written(buckets.join(shared_by.select("_h", "_center", "_many"), "_h"), "buckets")
-    # A half of each minimum is enough to compare signatures: unequal ones agree by chance once in 65,536 places.
-    halves = F.expr("unhex(regexp_replace(hex(_sig), '(....)....', '$1'))")
+    # A quarter of each minimum is enough to compare signatures: unequal ones agree by chance once in 256 places.
+    quarters = F.expr("unhex(regexp_replace(hex(_sig), '(..)......', '$1'))")
     candidates = members.select(F.col("_rep").alias("_id")).distinct()
     few = candidates.count()
     if few == 0:
@@ -191,7 +221,7 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         if few <= BROADCAST_IDS:
             candidates = F.broadcast(candidates)
         sets = shared.written(own.join(candidates, "_id", "left_semi").mapInPandas(_set_rows, "_doc long, _set binary").dropDuplicates(["_doc", "_set"]), "sets")
-        short = shared.written(classes.join(candidates.select(F.col("_id").alias("_rep")), "_rep", "left_semi").select("_rep", halves.alias("_sig")), "halves")
+        short = shared.written(classes.join(candidates.select(F.col("_id").alias("_rep")), "_rep", "left_semi").select("_rep", "_n", quarters.alias("_sig"), "_odd"), "sketches")
         edges = links(members, sets, short)
     out = described.select("_id", "_n", "_k1", "_k2")
     of_class = classes.select("_k1", "_k2", "_n", "_rep")
@@ -209,33 +239,34 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     """Components (node, component) of the documents in buckets(_h, _rep, _center, _many)."""
     pairs = members.where("_rep <> _center").select(F.col("_center").alias("a"), F.col("_rep").alias("b")).distinct()
-    a, b = (short.withColumnsRenamed({"_rep": x, "_sig": f"_s{x}"}) for x in "ab")
-    rated = pairs.join(b, "b").join(a, "a").mapInPandas(_rate, "a long, b long, r double").where(F.col("r") >= SURE)
+    a, b = (short.withColumnsRenamed({"_rep": x, "_sig": f"_s{x}", "_odd": f"_o{x}", "_n": f"_n{x}"}) for x in "ab")
+    rated = pairs.join(b, "b").join(a, "a").mapInPandas(_rate, "a long, b long, r double")
     best = Window.partitionBy("b").orderBy(F.col("r").desc(), "a")
-    first = shared.cut(confirmed(rated.withColumn("_k", F.row_number().over(best)).where("_k <= 2").select("a", "b"), sets))
-    one = connected(first)
-    placed = members.join(one.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
-    mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
-    blocks = F.ceil(F.col("_many") / BLOCK).cast("int")
-    rows = placed.join(mixed, "_h").withColumn("_block", F.pmod(F.xxhash64("_rep"), blocks).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("_h", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_comp").join(short, "_rep")
-    second = rows.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs, "a long, b long").distinct()
-    more = shared.cut(confirmed(second, sets))
-    # The second round's links join components of the first.
-    low, high = (one.withColumnsRenamed({"node": x, "component": f"_c{x}"}) for x in "ab")
-    joined = more.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))
-    two = connected(joined)
-    nodes = one.select("node", F.col("component").alias("_c")).unionAll(two.select("node", F.col("node").alias("_c"))).groupBy("node").agg(F.min("_c").alias("_c"))
-    last = two.withColumnsRenamed({"node": "_c", "component": "_last"})
-    return nodes.join(last, "_c", "left").select("node", F.coalesce("_last", "_c").alias("component"))
+    found = shared.cut(confirmed(rated.withColumn("_k", F.row_number().over(best)).where("_k <= 2").select("a", "b"), sets))
+    known = connected(found)
+    for every in (False, True):
+        placed = members.join(known.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
+        mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
+        blocks = F.ceil(F.col("_many") / BLOCK).cast("int")
+        rows = placed.join(mixed, "_h").withColumn("_block", F.pmod(F.xxhash64("_rep"), blocks).cast("int"))
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("_h", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_comp").join(short, "_rep")
+        met = rows.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs(every), "a long, b long").distinct()
+        more = shared.cut(confirmed(met, sets))
+        if more.isEmpty():
+            continue
+        found = found.unionAll(more)
+        known = connected(found)
+    return known
 
 
 def _rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs that pass both tests, with the share of equal minima."""
     for pdf in batches:
         if len(pdf):
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, MINIMA) for c in ("_sa", "_sb"))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "r": (x == y).mean(1)})
+            (x, p), (y, q) = sketches(pdf["_sa"], pdf["_oa"]), sketches(pdf["_sb"], pdf["_ob"])
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "r": (x == y).mean(1)})
+            yield out[(out["r"] >= SURE) & (np.bitwise_count(p ^ q).sum(1, dtype=np.int64) * ODD_LIMIT <= pdf["_na"] + pdf["_nb"])]
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
