@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: Edges of a task, about.
+EDGES = 100_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """`node` and `component` (the smallest node that it reaches) of every node of edges(a, b) that isn't a component's smallest."""
@@ -17,15 +20,19 @@ def connected(edges: DataFrame) -> DataFrame:
     now = shared.cut(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(high, low).distinct())
     state = None
     while True:
+        # As many tasks as the edges need, so that a handful of them doesn't go through hundreds of tiny files.
+        few = max(1, -(-now.count() // EDGES))
+        now = now.coalesce(few)
         # Large star: every larger neighbour of a node is linked with the smallest of the node and its neighbours.
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").coalesce(2 * few).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: every smaller neighbour of a node, and the node, is linked with the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        linked = large.join(least, "u").coalesce(2 * few)
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = shared.cut(small.where("u <> v").distinct())
+        now = shared.cut(small.coalesce(2 * few).where("u <> v").distinct())
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == was or not state[0]:
+            shared.release(now.sparkSession)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

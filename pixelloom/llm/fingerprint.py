@@ -173,7 +173,8 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int
             ids = [None if pd.isna(i) else int(i) for i in pdf["_id"].astype(object)]
             rows = [*([held] if held else []), *zip(pdf["_bucket"], ids, texts, pdf["_tail"], strict=True)]
             held = rows[-1]
-            yield finish(rows, False)
+            if len(rows) > 1:
+                yield finish(rows, False)
         if held:
             yield finish([held], True)
 
@@ -195,7 +196,7 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
             "fingerprint": [written_out(s) for s in mine], "edited_fingerprint": [written_out(s) for s in theirs],
             "near_edited": likeness(mine, theirs), "near_next": likeness(mine, after),
-        })
+        }).astype({"edited_sha256": object, "fingerprint": object, "edited_fingerprint": object})
 
     return rows.mapInPandas(run, f"`{id}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -74,44 +74,52 @@ class Model:
         order = np.argsort(-size, kind="stable")
         first, size = offsets[:-1][order], size[order]
         longest = int(size[0]) if len(size) else 0
-        alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # sequences with more than t tokens
         total = np.zeros(len(size))
-        alpha_all = np.empty((len(cls), STATES), np.float32) if counts else None
-        scale_all = np.empty(len(cls), np.float32) if counts else None
-        alpha = None
+        if not longest:
+            return total
+        # Tokens in order of time, so that a step works on one stretch; sequences with more than t tokens come first.
+        alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
+        edge = np.zeros(longest + 1, np.int64)
+        np.cumsum(alive, out=edge[1:])
+        t = np.repeat(np.arange(longest), alive)
+        seen = cls[first[np.arange(edge[-1]) - edge[t]] + t]
+        alpha = self.emit[seen]
+        emitted = alpha.copy() if counts else alpha
+        scale = np.empty(len(seen), np.float32)
+        alpha[: alive[0]] *= self.start
         for t in range(longest):
-            n = alive[t]
-            at = first[:n] + t
-            alpha = (np.broadcast_to(self.start, (n, STATES)) if t == 0 else alpha[:n] @ self.move) * self.emit[cls[at]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:n] += np.log(scale)
-            if counts:
-                alpha_all[at], scale_all[at] = alpha, scale
+            n, now = alive[t], alpha[edge[t] : edge[t + 1]]
+            if t:
+                now *= alpha[edge[t - 1] : edge[t - 1] + n] @ self.move
+            s = now.sum(1)
+            scale[edge[t] : edge[t + 1]] = s
+            now /= s[:, None]
+            total[:n] += np.log(s)
         if counts:
-            self._backward(cls, first, alive, alpha_all, scale_all, counts)
+            self._backward(seen, alive, edge, alpha, emitted, scale, counts)
         out = np.empty(len(size))
         out[order] = total
         return out
 
-    def _backward(self, cls: np.ndarray, first: np.ndarray, alive: np.ndarray, alpha: np.ndarray, scale: np.ndarray, counts: tuple) -> None:
-        beta = np.zeros((0, STATES), np.float32)
-        pairs = np.zeros((STATES, STATES))
-        for t in range(len(alive) - 1, -1, -1):
-            n, m = alive[t], len(beta)
-            at = first[:n] + t
-            now = np.ones((n, STATES), np.float32)
-            if m:
-                after = at[:m] + 1
-                ahead = beta * self.emit[cls[after]] / scale[after][:, None]
-                pairs += alpha[at[:m]].T @ ahead
-                now[:m] = ahead @ self.move.T
-            beta = now
-            alpha[at] *= beta  # the posterior of each state takes the place of alpha
-        counts[0][:] += alpha[first].sum(0)
+    def _backward(self, seen: np.ndarray, alive: np.ndarray, edge: np.ndarray, alpha: np.ndarray, emitted: np.ndarray, scale: np.ndarray, counts: tuple) -> None:
+        emitted /= scale[:, None]
+        back = np.ascontiguousarray(self.move.T)
+        beta = np.ones((alive[-1], STATES), np.float32)
+        pairs = np.zeros((STATES, STATES), np.float64)
+        for t in range(len(alive) - 2, -1, -1):
+            n, m = alive[t], alive[t + 1]
+            ahead = emitted[edge[t + 1] : edge[t + 2]]
+            ahead *= beta
+            now = alpha[edge[t] : edge[t + 1]]
+            pairs += now[:m].T @ ahead
+            alpha[edge[t + 1] : edge[t + 2]] *= beta  # the posterior of each state takes the place of alpha
+            beta = np.ones((n, STATES), np.float32)
+            beta[:m] = ahead @ back
+        alpha[: alive[0]] *= beta
+        counts[0][:] += alpha[: alive[0]].sum(0)
         counts[1][:] += pairs * self.move
         for s in range(STATES):
-            counts[2][:, s] += np.bincount(cls, alpha[:, s], CLASSES + 1)
+            counts[2][:, s] += np.bincount(seen, alpha[:, s], CLASSES + 1)
 
 
 def empty_counts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -255,7 +255,7 @@ def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
         more = shared.cut(confirmed(met, sets))
         if more.isEmpty():
             continue
-        found = found.unionAll(more)
+        found = shared.cut(found.unionAll(more))
         known = connected(found)
     return known
 

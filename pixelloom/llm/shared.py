@@ -5,6 +5,7 @@ Everything here handles null and empty texts (no words) and texts of any length.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,6 +51,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see which shuffles and checkpoints of an iteration nobody needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(col: Column, k: int) -> Column:
     """crc32 of the id's text modulo k; null ids give null."""
     return F.crc32(col.cast("string").cast("binary")) % k
@@ -105,7 +112,20 @@ class Tokenizer:
         np.cumsum([len(r) + 1 for r in raw], out=at[1:])
         return np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8), at
 
-    def words(self, texts: list) -> Words:
+    def words(self, texts: list, at_once: int = 2 << 20) -> Words:
+        """The words of all texts; about at_once characters are worked on at a time, which bounds the memory."""
+        part = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts]) // at_once
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
+        done = [self._words(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if len(done) == 1:
+            return done[0]
+        tokens = np.cumsum([0, *(len(w.hash) for w in done)])
+        places = np.cumsum([0, *(len(w.data) for w in done)])
+        offsets = np.concatenate([[0], *(w.offsets[1:] + n for w, n in zip(done, tokens, strict=False))]).astype(np.int64)
+        start, end = (np.concatenate([getattr(w, k) + n for w, n in zip(done, places, strict=False)]) for k in ("start", "end"))
+        return Words(np.concatenate([w.hash for w in done]), offsets, start, end, np.concatenate([w.data for w in done]))
+
+    def _words(self, texts: list) -> Words:
         data, at = self.bytes_of(texts)
         isw = self.word[data]
         edge = np.flatnonzero(isw[1:] != isw[:-1]) + 1

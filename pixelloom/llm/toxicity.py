@@ -105,10 +105,10 @@ class Network:
 
     def grid(self, x: Inputs, start: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Distinct word numbers of each window, time first; the padding has the number after the last."""
-        at = start[None, :] + np.arange(WINDOW)[:, None]
-        inside = at < x.offsets[text + 1][None, :]
-        token = np.append(x.token, len(x.hash))
-        return np.where(inside, token[np.minimum(at, len(token) - 1)], len(x.hash))
+        at = (start[None, :] + np.arange(WINDOW)[:, None]).astype(np.int32)
+        inside = at < x.offsets[text + 1].astype(np.int32)[None, :]
+        token = np.append(x.token, len(x.hash)).astype(np.int32)
+        return np.where(inside, token[np.minimum(at, np.int32(len(token) - 1))], np.int32(len(x.hash)))
 
     def logits(self, x: Inputs) -> np.ndarray:
         """The highest window's logit of each text."""
