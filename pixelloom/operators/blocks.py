@@ -26,9 +26,13 @@ def separable(block: Column, inverse: bool = False) -> Column:
 
 
 def coefficients(df: DataFrame, id: str, block: str, inverse: bool = False) -> DataFrame:
-    """id, pos (row-major) and coef of each block."""
-    done = df.select(id, separable(F.col(block), inverse).alias("_c"))
-    return done.select(id, F.posexplode("_c").alias("pos", "coef"))
+    """id, pos (row-major) and coef of each block: each block meets the 64 rows of the constant matrix."""
+    at = lambda u, x: basis(x, u) if inverse else basis(u, x)
+    places = [(i // 8, i % 8) for i in range(64)]
+    rows = [(v * 8 + u, [at(v, y) * at(u, x) for y, x in places]) for v, u in places]
+    matrix = df.sparkSession.createDataFrame(rows, "pos int, _row array<double>")
+    met = df.select(id, F.col(block).alias("_block")).crossJoin(F.broadcast(matrix))
+    return met.select(id, "pos", F.aggregate(F.zip_with("_block", "_row", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z).alias("coef"))
 
 
 def quantised(coef: DataFrame, table: list[int], value: str = "coef") -> DataFrame:
