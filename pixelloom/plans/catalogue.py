@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pixelloom.functions import color, fixed
 from pixelloom.operators import blocks, signals
 
+from . import planes
+
 QUALITIES = (10, 50, 90)
 
 
@@ -55,9 +57,11 @@ def dct8x8_energy(spark, sf_dir):
 
 
 def idct_roundtrip_error(spark, sf_dir):
-    b = _blocks(spark, sf_dir).select("vec_id", "block", blocks.separable(F.col("block")).alias("c"))
-    back = b.select("vec_id", F.zip_with("block", blocks.separable(F.col("c"), True), lambda x, y: F.abs(x - y)).alias("e"))
-    return back.select("vec_id", (F.array_max("e") < 1e-6).alias("exact"))
+    c = blocks.coefficients(_blocks(spark, sf_dir), "vec_id", "block")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("pos", "coef"))), lambda s: s["coef"])
+    back = blocks.coefficients(c.groupBy("vec_id").agg(whole.alias("c")), "vec_id", "c", True)
+    error = F.max(F.abs(F.col("v") - F.col("coef")))
+    return back.join(_samples(spark, sf_dir), ["vec_id", "pos"]).groupBy("vec_id").agg((error < 1e-6).alias("exact"))
 
 
 def quantize_q50(spark, sf_dir):
@@ -133,7 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dct8x8_coeffs, dct8x8_energy, idct_roundtrip_error, quantize_q50, zigzag_scan, ac_zero_runs, ssss_histogram, quality_scaled_tables, rgb_to_ycbcr,
         ycbcr_to_rgb, rct_roundtrip, med_predictor_residuals, lossless_predictors_1_7, dwt53_forward, dwt53_roundtrip, image_quality_metrics, gradient_fixture,
     )
-}
+} | planes.build(_levels, _raster, _rgb)
 
 FLAGSHIP = dct8x8_energy
 
@@ -183,4 +187,4 @@ sum(abs(v - (a + floor((b - c) / 2))))::BIGINT AS error5, sum(abs(v - (b + floor
     "image_quality_metrics": f"""WITH {_IMG}, d AS (SELECT name, v - v // 4 * 4 AS d FROM img)
 SELECT name, round(avg(d), 6) AS mae, max(d)::BIGINT AS max_diff, round(10 * log10(65025.0 / avg(d * d)), 6) AS psnr, max(d) = 0 AS lossless FROM d GROUP BY name""",
     "gradient_fixture": "SELECT 'ramp' AS name, (range // 64)::INT AS y, (range % 64)::INT AS x, (range * 255 // 4095)::INT AS v FROM range(4096)",
-}
+} | planes.oracles(_LEVEL, _IMG, _PX)

@@ -6,7 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color, fixed
-from pixelloom.operators import signals
+from pixelloom.operators import planes, signals
 
 
 def test_zigzag_starts_and_ends_as_the_standard_has_it():
@@ -30,6 +30,42 @@ def test_wavelet_round_trip(spark):
     assert back.where("back <> v OR back IS NULL").count() == 0
 
 
+def test_dead_zone(spark):
+    level, back = planes.dead_zone(F.lit(10.5), 2.0)
+    assert tuple(spark.range(1).select(level, back).first()) == (5, 11.0)
+
+
+def test_tiles_round_trip(spark):
+    image = signals.gradient(spark, "odd", 11, 9)
+    tiles = planes.tiled(image)
+    assert tiles.count() == 4 and tiles.where("size(block) = 64").count() == 4
+    assert planes.untiled(tiles, 11, 9).select("name", "y", "x", "v").exceptAll(image).count() == 0
+    assert planes.untiled(tiles, 11, 9).count() == 99
+
+
+def test_canonical_codes_are_free_of_prefixes(spark):
+    rows = [("t", i, i, b) for i, b in enumerate([2, 3, 3, 3, 3, 3, 4, 5])]
+    got = planes.canonical_codes(spark.createDataFrame(rows, "name string, idx int, symbol int, bits int")).collect()
+    codes = [format(r["code"], f"0{r['bits']}b") for r in got]
+    assert all(a == b or not b.startswith(a) for a in codes for b in codes)
+
+
+def test_run_segments_cover_each_line(spark):
+    rows = [("a", 0, x, v) for x, v in enumerate([5, 5, 1, 5, 5, 5])] + [("a", 1, 0, 5)]
+    got = {(r["y"], r["start"], r["length"], r["v"]) for r in planes.segments(spark.createDataFrame(rows, "name string, y int, x int, v int")).collect()}
+    assert got == {(0, 0, 2, 5), (0, 2, 1, 1), (0, 3, 3, 5), (1, 0, 1, 5)}
+
+
+def test_tree_has_the_minimum_at_its_root(spark):
+    image = signals.gradient(spark, "odd", 11, 9).withColumn("v", F.col("v") + 3)
+    assert [r["v"] for r in planes.tag_tree(image, 5).where("level = 4").collect()] == [3]
+
+
+def test_portable_graymap(spark):
+    image = spark.createDataFrame([("a", 0, 1, 255), ("a", 0, 0, 7)], "name string, y int, x int, v int")
+    assert bytes(planes.graymap(image).first()["file"]) == b"P5\n2 1\n255\n\x07\xff"
+
+
 def test_entry_without_the_corpus_operators(monkeypatch):
     monkeypatch.setitem(sys.modules, "pixelloom.llm", None)
     entry = importlib.import_module("__spark_entry__")
