@@ -2,7 +2,8 @@
 
 Language identification removes documents without an identified language, toxicity those predicted toxic, near-duplicate
 removal all but one document of each component, benchmark decontamination those with a benchmark window; packing lays
-out what is left. Rows with null ids or texts take part: a null text has no language and goes.
+out what is left. Rows with null ids or texts take part: a null text has no language and goes. Each stage first gives back
+the driver's memory that the one before it took, and after training what that took.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.release(spark)
     trees = language_id.fit(docs.where(shared.remainder(F.col("doc_id"), 3) != 1))
     shipped = spark.sparkContext.broadcast(trees)
 
@@ -36,8 +38,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.release(spark)
     labels = shared.table(spark, sf_dir, "labels").where(shared.remainder(F.col("doc_id"), 5) != 0)
     shipped = spark.sparkContext.broadcast(toxicity.fit(docs, labels))
+    shared.release(spark)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
@@ -58,6 +62,7 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.release(spark)
     found = near_dedup.dedupe(docs.select("doc_id", "text"))
     out = without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")))
     ids = docs.where(F.col("doc_id").isNotNull()).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
@@ -67,11 +72,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.release(spark)
     found = decontaminate.overlaps(docs.select("doc_id", "text"), shared.table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated").select(F.col("doc_id").alias("_id")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.release(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 

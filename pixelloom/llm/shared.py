@@ -5,6 +5,7 @@ Everything here handles null and empty texts (no words) and texts of any length.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -52,9 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see which shuffles and checkpoints of an iteration nobody needs any more."""
+    """Lets Spark's cleaner see which shuffles and checkpoints nobody needs any more, and gives the driver's free memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def remainder(col: Column, k: int) -> Column:
