@@ -123,7 +123,7 @@ SELECT 'dc' AS name, idx, idx AS symbol, bits, (coalesce(sum(pow(2.0, -bits)) OV
         "first_mismatch": f"WITH {image}, m AS (SELECT name, y * 32 + x AS pos, (v // 4 * 4)::BIGINT AS got, v AS expected FROM img WHERE v % 4 <> 0) SELECT name, min(pos) AS pos, arg_min(got, pos) AS got, arg_min(expected, pos) AS expected FROM m GROUP BY name",
         "byte_histogram": "SELECT byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY byte",
         "ppm_export": f"WITH {image} SELECT name, hex(encode('P5' || chr(10) || '32 24' || chr(10) || '255' || chr(10))) || string_agg(printf('%02X', v), '' ORDER BY y, x) AS file_hex FROM img GROUP BY name",
-        "rct_inverse": f"SELECT id, (b - 128 + t)::BIGINT AS red, t::BIGINT AS green, (g - 128 + t)::BIGINT AS blue FROM (SELECT *, r - floor((g + b - 256) / 4)::INT AS t FROM ({px}))",
+        "rct_inverse": f"SELECT id, (b - 128 + t)::INT AS red, t::INT AS green, (g - 128 + t)::INT AS blue FROM (SELECT *, r - floor((g + b - 256) / 4)::INT AS t FROM ({px}))",
         "checker_fixture": "SELECT (range // 8)::INT AS y, (range % 8)::INT AS x, CASE WHEN (range // 8) % 2 = range % 8 % 2 THEN 255 ELSE 0 END AS v FROM range(64)",
         "subband_geometry": f"SELECT n, l::INT AS level, ceil(n / pow(2.0, l))::BIGINT AS low, (ceil(n / pow(2.0, l - 1)) - ceil(n / pow(2.0, l)))::BIGINT AS high FROM (SELECT unnest({SIZES})::BIGINT AS n), range(1, 6) t(l)",
     }
