@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import color, fixed
 from pixelloom.operators import blocks, signals
 
-from . import images, planes
+from . import images, more, planes
 
 QUALITIES = (10, 50, 90)
 
@@ -42,7 +42,7 @@ def _rgb(spark: SparkSession) -> DataFrame:
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of each user's events in order of time, as whole numbers; users with one event have no neighbours."""
-    order = F.row_number().over(signals.Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    order = F.row_number().over(signals.Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", order.alias("i"), F.floor(F.col("value") * 10).cast("long").alias("v"))
     return rows.withColumn("n", F.count("*").over(signals.Window.partitionBy("user_id"))).where("n > 1").drop("n")
 
@@ -137,7 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dct8x8_coeffs, dct8x8_energy, idct_roundtrip_error, quantize_q50, zigzag_scan, ac_zero_runs, ssss_histogram, quality_scaled_tables, rgb_to_ycbcr,
         ycbcr_to_rgb, rct_roundtrip, med_predictor_residuals, lossless_predictors_1_7, dwt53_forward, dwt53_roundtrip, image_quality_metrics, gradient_fixture,
     )
-} | planes.build(_levels, _raster, _rgb) | images.QUERIES
+} | planes.build(_levels, _raster, _rgb) | more.build(_blocks, _levels, _raster, _rgb, _signal) | images.QUERIES
 
 FLAGSHIP = dct8x8_energy
 
@@ -187,4 +187,4 @@ sum(abs(v - (a + floor((b - c) / 2))))::BIGINT AS error5, sum(abs(v - (b + floor
     "image_quality_metrics": f"""WITH {_IMG}, d AS (SELECT name, v - v // 4 * 4 AS d FROM img)
 SELECT name, round(avg(d), 6) AS mae, max(d)::BIGINT AS max_diff, round(10 * log10(65025.0 / avg(d * d)), 6) AS psnr, max(d) = 0 AS lossless FROM d GROUP BY name""",
     "gradient_fixture": "SELECT 'ramp' AS name, (range // 64)::INT AS y, (range % 64)::INT AS x, (range * 255 // 4095)::INT AS v FROM range(4096)",
-} | planes.oracles(_LEVEL, _IMG, _PX) | images.ORACLES
+} | planes.oracles(_LEVEL, _IMG, _PX) | more.oracles(_COEF, _LEVEL, _IMG, _PX, _DWT) | images.ORACLES

@@ -6,7 +6,7 @@ import sys
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color, fixed
-from pixelloom.operators import planes, signals
+from pixelloom.operators import bands, planes, signals
 
 
 def test_zigzag_starts_and_ends_as_the_standard_has_it():
@@ -71,3 +71,20 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
     assert "dct8x8_energy" in entry.queries() and not any(k.startswith("op") for k in entry.queries())
+
+
+def test_irreversible_wavelet_round_trip(spark):
+    rows = [(k, i, (i * i * 31 + k) % 97) for k in range(4) for i in range(2 + k)] + [(9, i, 10 * (i + 1)) for i in range(8)]
+    s = spark.createDataFrame(rows, "k long, i long, v long")
+    waves = bands.lifted_97(s, "k", "i", "v")
+    assert bands.unlifted_97(waves, "k", "i").where("abs(back - v) > 1e-6 OR back IS NULL").count() == 0
+    flat = bands.lifted_97(spark.createDataFrame([(0, i, 50) for i in range(9)], "k long, i long, v long"), "k", "i", "v")
+    assert flat.where("i % 2 = 1 AND abs(w) > 1e-6").count() == 0
+
+
+def test_contexts_at_their_ends(spark):
+    of = lambda h, v, d, band: bands.zero_context(F.lit(h), F.lit(v), F.lit(d), band)
+    want = {("LL", 2, 0, 0): 8, ("LL", 1, 0, 1): 6, ("LL", 0, 2, 4): 4, ("LL", 0, 0, 4): 2, ("HL", 0, 2, 0): 8, ("HH", 0, 0, 3): 8, ("HH", 1, 1, 1): 5, ("HH", 0, 0, 0): 0}
+    got = spark.range(1).select(*(of(h, v, d, b).alias(str(i)) for i, (b, h, v, d) in enumerate(want))).first()
+    assert list(got) == list(want.values())
+    assert [tuple(spark.range(1).select(*bands.sign_context(F.lit(h), F.lit(v))).first()) for h, v in ((2, 1), (0, 0), (0, -2), (-1, -1))] == [(13, 0), (9, 0), (10, 1), (13, 1)]
