@@ -26,7 +26,7 @@ ORDER = 3
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: A context needs as many bytes in the sample to get a row of its own; rarer ones use the next shorter context.
 LEAST = 3
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
 

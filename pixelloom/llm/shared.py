@@ -56,6 +56,11 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner see which shuffles and checkpoints nobody needs any more, and gives the driver's free memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
+
+
+def trim() -> None:
+    """Gives the free memory of this process back, where the C library can."""
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
@@ -70,7 +75,10 @@ def ascii_lower(col: Column) -> Column:
 
 
 def pieces(batches: Iterable[pd.DataFrame], col: str, max_bytes: int) -> Iterator[pd.DataFrame]:
-    """The rows again in batches of about max_bytes of text (a longer text alone)."""
+    """The rows again in batches of about max_bytes of text (a longer text alone).
+
+    After the last one the worker's free memory goes back, so that an idle worker doesn't hold what its largest task took.
+    """
     for pdf in batches:
         if not len(pdf):
             continue
@@ -79,6 +87,7 @@ def pieces(batches: Iterable[pd.DataFrame], col: str, max_bytes: int) -> Iterato
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(pdf)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield pdf.iloc[a:b].reset_index(drop=True)
+    trim()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
