@@ -1,17 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with license templates, with DataFrame functions only.
 
-A block is a line. Template and block are sets of words; a block meets a template that it contains to at least
-THRESHOLD, that is, if it has `need` of its words. All template words are ordered by their frequency in the documents,
+A block is a line, or a window of as many words as the template has and SLACK more, at any place of the whole text, so that
+a notice may go on over line ends. Template and block are sets of words; a block meets a template that it contains to at
+least THRESHOLD, that is, if it has `need` of its words, and all of its REQUIRED ones, which tell it from other licenses'
+notices. All template words are ordered by their frequency in the documents,
 rarest first. Of two sets that share `need` words, the block must have one of the template's first
 size - need + 1 words (prefix filter), at least `need` template words in all (length filter), and enough of them from
-the matched one on (positional filter); what passes is compared in full.
+the matched one on (positional filter); what passes is compared in full. Windows are looked at around the places of prefix
+words only, as each that meets a template has one of them.
 
 Beside this, the places of three fixed phrases are counted exactly. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after
 lower-casing A-Z.
 
 Defined results: null and empty texts have no words, no places and no labels, and score 0. The score is the highest
 containment that met the threshold, 1 where a phrase stands. Rows that occur several times get their result each time;
-other columns are not read.
+other columns are not read. The SQL has lines as its only blocks and no required words.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from . import decontaminate, shared
 
 THRESHOLD = 0.8
+#: Words that may stand between those of a notice.
+SLACK = 4
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
@@ -34,6 +39,16 @@ TEMPLATES = {
     "mit": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+#: Words without which a text isn't about the license, whatever else it shares with the template.
+REQUIRED = {
+    "apache-2.0": "apache 2",
+    "bsd": "redistribution source binary",
+    "cc-by-nc-4.0": "cc nc 4",
+    "cc-by-sa-4.0": "commons sharealike 4",
+    "gpl-3.0": "gnu general 3",
+    "mit": "mit",
+    "mpl-2.0": "mozilla 2",
+}
 
 
 def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
@@ -42,33 +57,57 @@ def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str,
     return {r["w"]: r["count"] for r in said.groupBy("w").count().collect()}
 
 
-def matches(docs: DataFrame, text: str, templates: dict[str, str], threshold: float) -> DataFrame:
+def matches(docs: DataFrame, text: str, templates: dict[str, str], threshold: float, required: dict[str, str], slack: int) -> DataFrame:
     """The similarity join: `_id`, `_h` of each document row with matching blocks, its labels and best containment."""
     sets = {k: set(v.split()) for k, v in templates.items()}
     vocabulary = sorted(set().union(*sets.values()))
     count = frequencies(docs, text, vocabulary)
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    spans = {k: len(v.split()) + slack for k, v in templates.items()}
     index = []
     for label, tokens in sets.items():
         need = math.ceil(threshold * len(tokens) - 1e-9)
         ranked = sorted(tokens, key=rank.get)
-        index += [(w, label, ranked, len(ranked), need) for w in ranked[: len(ranked) - need + 1]]
+        must = [w for w in required.get(label, "").split() if w in tokens]
+        index += [(w, label, ranked, must, len(ranked), need, spans[label]) for w in ranked[: len(ranked) - need + 1]]
     prefix = sorted({row[0] for row in index})
-    index_df = docs.sparkSession.createDataFrame(index, "_token string, _label string, _tokens array<string>, _size int, _need int")
+    index_df = docs.sparkSession.createDataFrame(index, "_token string, _label string, _tokens array<string>, _must array<string>, _size int, _need int, _span int")
     literal = F.array(*map(F.lit, order))
     some = docs.where(F.arrays_overlap(decontaminate.words(F.lower(F.col(text))), F.array(*map(F.lit, prefix))))
     lines = some.select("_id", "_h", F.posexplode(F.split(shared.ascii_lower(F.col(text)), "\n")).alias("_line", "_block"))
     blocks = lines.select("_id", "_h", "_line", F.array_intersect(literal, decontaminate.words(F.col("_block"))).alias("_own")).where(F.size("_own") > 0)
     tokens = blocks.select("_id", "_h", "_own", F.posexplode("_own").alias("_at", "_token"))
     room = (F.size("_own") >= F.col("_need")) & (F.size("_own") - F.col("_at") >= F.col("_need"))
-    shared_words = F.size(F.array_intersect("_own", "_tokens"))
     # The index has a few rows for each template, whatever the documents are.
     met = tokens.join(F.broadcast(index_df), "_token").where(room)
-    met = met.where(shared_words >= F.col("_need")).select("_id", "_h", "_label", (shared_words / F.col("_size")).alias("_c"))
+    met = met.select("_id", "_h", "_label", "_size", "_need", met_words(F.col("_own")).alias("_n"))
+    near = around(some.select("_id", "_h", decontaminate.words(shared.ascii_lower(F.col(text))).alias("_w")), prefix, max(spans.values()))
+    near = near.join(F.broadcast(index_df), "_token").where(F.size(F.array_intersect("_region", "_tokens")) >= F.col("_need"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("_own_at") - F.col("_span") + 1), F.col("_own_at"))
+    best = F.array_max(F.transform(starts, lambda s: met_words(F.slice(F.col("_region"), s + 1, F.col("_span")))))
+    met = met.unionAll(near.select("_id", "_h", "_label", "_size", "_need", best.alias("_n")))
+    met = met.where("_n >= _need").select("_id", "_h", "_label", (F.col("_n") / F.col("_size")).alias("_c"))
     return met.groupBy("_id", "_h").agg(F.collect_set("_label").alias("_labels"), F.max("_c").alias("_best"))
 
 
+def met_words(block: Column) -> Column:
+    """How many of a template's words stand in the block, 0 if a required one doesn't."""
+    whole = F.size(F.array_intersect("_must", block)) == F.size("_must")
+    return F.when(whole, F.size(F.array_intersect("_tokens", block))).otherwise(0)
+
+
+def around(docs: DataFrame, prefix: list[str], span: int) -> DataFrame:
+    """For each place of a prefix word in `_w`: the word, `_region` (the words nearer than span) and its place in that."""
+
+    def near(word: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(0), i - (span - 1))
+        region = F.slice(F.col("_w"), first + 1, i - first + span)
+        return F.when(word.isin(prefix), F.struct(word.alias("_token"), region.alias("_region"), (i - first).alias("_own_at")))
+
+    return docs.select("_id", "_h", F.explode(F.array_compact(F.transform("_w", near))).alias("_s")).select("_id", "_h", "_s.*")
+
+
 def places(words: Column, phrase: str) -> Column:
     """The starts of a phrase's words among the words."""
     own = phrase.split()
@@ -84,10 +123,10 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, own[-1]), F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, required: dict[str, str] = REQUIRED, slack: int = SLACK) -> DataFrame:
     """One row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels and score."""
     own = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    met = matches(own, "_text", templates, threshold).withColumnsRenamed({"_id": "_mid", "_h": "_mh"})
+    met = matches(own, "_text", templates, threshold, required, slack).withColumnsRenamed({"_id": "_mid", "_h": "_mh"})
     lasts = F.array(*(F.lit(p.split()[-1]) for p in phrases))
     folded = decontaminate.words(F.lower(F.col("_text")))
     some = own.select("_id", "_h", F.size(folded).cast("long").alias("n_words"), F.when(F.arrays_overlap(folded, lasts), decontaminate.words(shared.ascii_lower(F.col("_text")))).otherwise(F.array().cast("array<string>")).alias("_w"))

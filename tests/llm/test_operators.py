@@ -105,6 +105,18 @@ def test_licenses(spark):
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and len(got) == len(rows)
 
 
+def test_licenses_over_line_ends(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy"
+    apache = "Licensed under the\nApache License, Version 2.0"
+    rows = [(1, bsd), (2, mpl), (3, apache), (4, "licensed under CC BY 4.0"), (5, "x " * 3000 + "\n\n" + apache.replace(" ", "\n") + " y" * 3000), (6, "Licensed under the Apache\nSoftware License, Version 1.0"), (7, None), (3, apache), (None, mpl)]
+    rows += [(20 + k, "released under " + "x " * k + "the\nMIT license") for k in range(8)]
+    got = sorted(((x["doc_id"] or 0, x["labels"], x["score"]) for x in licenses.scan(documents(spark, rows)).collect()))
+    # With one word too many a window still holds 4 of the 5 words.
+    loose = [(20 + k, "mit" if k <= licenses.SLACK + 1 else "", 1.0 if k <= licenses.SLACK else 0.8 if k == licenses.SLACK + 1 else 0.0) for k in range(8)]
+    assert got == [(0, "mpl-2.0", 1.0), (1, "bsd", 1.0), (2, "mpl-2.0", 1.0), (3, "apache-2.0", 1.0), (3, "apache-2.0", 1.0), (4, "cc-by", 1.0), (5, "apache-2.0", 1.0), (6, "", 0.0), (7, "", 0.0), *loose]
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "a\\[INST]", "\n[INST] x [ROLE] y", "", None, " [NEXT] ", "x\\", "<s> "]
     rows = [(c, t, role, text) for c in (1, 2, None) for t, (role, text) in enumerate(zip(itertools.cycle(["user", "user", "assistant", "assistant", None, "[ROLE] odd"]), nasty))]
