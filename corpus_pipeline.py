@@ -2,8 +2,9 @@
 
 Language identification removes documents without an identified language, toxicity those predicted toxic, near-duplicate
 removal all but one document of each component, benchmark decontamination those with a benchmark window; packing lays
-out what is left. Rows with null ids or texts take part: a null text has no language and goes. Each stage first gives back
-the driver's memory that the one before it took, and after training what that took.
+out what is left. Rows with null ids or texts take part: a null text has no language and goes. Rows are rejected one by one,
+by a key of their own, also where ids are null or repeated; rows with equal texts are near duplicates of each other. Each stage
+first gives back the driver's memory that the one before it took, and after training what that took.
 """
 
 from __future__ import annotations
@@ -53,28 +54,36 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(clean("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`, a number for each row in the order of ids: the id itself where no id is null or repeated."""
+    id = F.col("doc_id").cast("long")
+    rows = docs.agg(F.count("*").alias("n"), F.countDistinct(id).alias("k")).first()
+    if rows["n"] == rows["k"]:
+        return docs.withColumn("_key", id)
+    ordered = docs.orderBy(id.asc_nulls_last(), F.xxhash64("text"))
+    return shared.written(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in rejected(_id)."""
-    rejected = shared.cut(rejected.where(F.col("_id").isNotNull()).distinct())
+    """docs without the rows whose `_key` is in rejected(_rejected), and without the key."""
+    rejected = shared.cut(rejected.distinct())
     if rejected.count() <= BROADCAST_IDS:
         rejected = F.broadcast(rejected)
-    return docs.join(rejected, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(rejected, F.col("_key") == F.col("_rejected"), "left_anti").drop("_key")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.release(spark)
-    found = near_dedup.dedupe(docs.select("doc_id", "text"))
-    out = without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")))
-    ids = docs.where(F.col("doc_id").isNotNull()).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
-    if ids["n"] > ids["k"]:  # rows that share an id are one document
-        out = out.where(F.col("doc_id").isNull()).unionByName(out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
-    return out
+    docs = keyed(docs)
+    found = near_dedup.dedupe(docs.select("_key", "text"), "_key")
+    return without(docs, found.where(~F.col("kept")).select(F.col("_key").alias("_rejected")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.release(spark)
-    found = decontaminate.overlaps(docs.select("doc_id", "text"), shared.table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("_id")))
+    docs = keyed(docs)
+    found = decontaminate.overlaps(docs.select("_key", "text"), shared.table(spark, sf_dir, "benchmark"), "_key")
+    return without(docs, found.where("contaminated").select(F.col("_key").alias("_rejected")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ Links are found in rounds, without all pairs of a band's bucket; after each the
 Pairs of one component need no further link. Large buckets are cut into blocks, so that no task holds one whole.
 
 Defined results: null and empty texts, or those of white space, have an empty set and no link; null ids are never
-linked; rows with equal ids are one document with the links of all; other columns are not read.
+linked; rows with equal ids and texts are one document (rows with equal ids and other texts are compared text by text and
+are not joined by their id, so the pipeline hands over a key for each row); other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pixelloom.llm import chat, decontaminate, fingerprint, hidden_markov, language_id, licenses, near_dedup, packing, shared, toxicity, warc
 
 SYLLABLES = "ka lo mi ten ru sha ve po ni dar el qu is ost".split()
@@ -96,6 +97,21 @@ def test_decontamination(spark):
             assert x["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_pipeline_rejects_rows(spark, tmp_path):
+    """Near-duplicates and decontamination with null and repeated ids; a text's first row in the order of ids stays."""
+    r = random.Random(10)
+    item, a, b, c, d = (prose(r, n) for n in (12, 40, 40, 40, 40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(5, a), (5, d), (7, f"{d} x {item} {b}"), (7, b), (7, b), (8, None), (9, a + " ka lo"), (None, f"{item} {a} {c}"), (None, c), (None, c), (None, a + " ka lo"), (None, "")]
+    kept = lambda stage, rows: sorted(((x["doc_id"], x["text"]) for x in stage(spark, documents(spark, rows), str(tmp_path)).collect()), key=repr)
+    components = near_brute([(k, t) for k, (_, t) in enumerate(rows)])
+    assert kept(corpus_pipeline.near_duplicates, rows[::-1]) == sorted((x for k, x in enumerate(rows) if components[k][1] == k), key=repr)
+    assert kept(corpus_pipeline.decontaminated, rows) == sorted(((i, t) for i, t in rows if item not in (t or "")), key=repr)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated):
+        assert kept(stage, []) == []
+        assert stage(spark, documents(spark, rows), str(tmp_path)).columns == ["doc_id", "text", "lang", "score"]
+
+
 def test_licenses(spark):
     rows = [*enumerate(ODD_TEXTS), (20, "x\nReleased under the MIT License.\nAll rights reserved."), (21, "licensed under cc BY-NC 4.0"), (22, "the mit license"), (23, "under the MIT license")]
     got = {x["doc_id"]: x for x in licenses.scan(documents(spark, rows)).collect()}
