@@ -13,11 +13,17 @@ SCALE_97 = 1.230174104914001
 
 
 def _lift(df: DataFrame, key: str, at: str, col: str, odd: int, weight: float) -> DataFrame:
-    """The places of one parity plus weight times both neighbours, mirrored at the ends; signals have two places or more."""
+    """The places of one parity plus weight times both neighbours, mirrored at the ends; one place alone stays as it is."""
     w = Window.partitionBy(key).orderBy(at)
     before, after = F.lag(col).over(w), F.lead(col).over(w)
     both = F.coalesce(before, after) + F.coalesce(after, before)
-    return df.withColumn(col, F.when(F.col(at) % 2 == odd, F.col(col) + both * weight).otherwise(F.col(col)))
+    return df.withColumn(col, F.when((F.col(at) % 2 == odd) & ~_alone(key, at), F.col(col) + both * weight).otherwise(F.col(col)))
+
+
+def _alone(key: str, at: str) -> Column:
+    """Whether a signal has this one place only."""
+    w = Window.partitionBy(key).orderBy(at)
+    return F.lag(at).over(w).isNull() & F.lead(at).over(w).isNull()
 
 
 def lifted_97(signal: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -25,12 +31,14 @@ def lifted_97(signal: DataFrame, key: str, at: str, value: str) -> DataFrame:
     out = signal.select(key, at, value, F.col(value).cast("double").alias("w"))
     for i, weight in enumerate(STEPS_97):
         out = _lift(out, key, at, "w", (i + 1) % 2, weight)
-    return out.withColumn("w", F.when(F.col(at) % 2 == 1, F.col("w") * SCALE_97).otherwise(F.col("w") / SCALE_97))
+    scaled = F.when(F.col(at) % 2 == 1, F.col("w") * SCALE_97).otherwise(F.col("w") / SCALE_97)
+    return out.withColumn("w", F.when(_alone(key, at), F.col("w")).otherwise(scaled))
 
 
 def unlifted_97(waves: DataFrame, key: str, at: str) -> DataFrame:
     """The inverse of lifted_97, as `back`."""
-    out = waves.withColumn("back", F.when(F.col(at) % 2 == 1, F.col("w") / SCALE_97).otherwise(F.col("w") * SCALE_97))
+    scaled = F.when(F.col(at) % 2 == 1, F.col("w") / SCALE_97).otherwise(F.col("w") * SCALE_97)
+    out = waves.withColumn("back", F.when(_alone(key, at), F.col("w")).otherwise(scaled))
     for i, weight in reversed(list(enumerate(STEPS_97))):
         out = _lift(out, key, at, "back", (i + 1) % 2, -weight)
     return out

@@ -25,7 +25,7 @@ def residuals(raster: DataFrame) -> DataFrame:
 
 
 def lifted_53(signal: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """One level of the reversible 5/3 transform of each signal: high (odd places) and low (even places), mirrored at the ends."""
+    """One level of the reversible 5/3 transform of each signal: high (odd places) and low (even places), mirrored at the ends; one sample alone is its low."""
     w = Window.partitionBy(key).orderBy(at)
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     high = F.col(value) - F.floor((F.coalesce(before, after) + F.coalesce(after, before)) / 2)

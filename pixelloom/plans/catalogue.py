@@ -41,10 +41,9 @@ def _rgb(spark: SparkSession) -> DataFrame:
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of each user's events in order of time, as whole numbers; users with one event have no neighbours."""
+    """The values of each user's events in order of time, as whole numbers."""
     order = F.row_number().over(signals.Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", order.alias("i"), F.floor(F.col("value") * 10).cast("long").alias("v"))
-    return rows.withColumn("n", F.count("*").over(signals.Window.partitionBy("user_id"))).where("n > 1").drop("n")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", order.alias("i"), F.floor(F.col("value") * 10).cast("long").alias("v"))
 
 
 def dct8x8_coeffs(spark, sf_dir):

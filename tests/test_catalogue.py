@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import color, fixed
 from pixelloom.operators import bands, planes, signals
+from pixelloom.plans import catalogue
 
 
 def test_zigzag_starts_and_ends_as_the_standard_has_it():
@@ -82,6 +83,16 @@ def test_irreversible_wavelet_round_trip(spark):
     assert flat.where("i % 2 = 1 AND abs(w) > 1e-6").count() == 0
 
 
+def test_signals_of_one_sample(spark, tmp_path):
+    """A user's only event is its own low sample, in all four queries."""
+    rows = [(1, 7, 0, 2.5), (2, 5, 0, -1.3), (3, 5, 1, 4.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    of = lambda name: sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert [x for x in of("dwt53_forward") if x[0] == 7] == [(7, 0, 25)]
+    assert [x for x in of("dwt97_forward") if x[0] == 7] == [(7, 0, 25.0)]
+    assert of("dwt53_roundtrip") == [(5, 2, 0), (7, 1, 0)] and of("dwt97_roundtrip") == [(5, 2, True), (7, 1, True)]
+
+
 def test_contexts_at_their_ends(spark):
     of = lambda h, v, d, band: bands.zero_context(F.lit(h), F.lit(v), F.lit(d), band)
     want = {("LL", 2, 0, 0): 8, ("LL", 1, 0, 1): 6, ("LL", 0, 2, 4): 4, ("LL", 0, 0, 4): 2, ("HL", 0, 2, 0): 8, ("HH", 0, 0, 3): 8, ("HH", 1, 1, 1): 5, ("HH", 0, 0, 0): 0}
