@@ -145,7 +145,8 @@ def with_next(docs: DataFrame, id: str, text: str, bucket: int) -> DataFrame:
     heads = {i: a for (a, _), (_, i) in zip(order[:-1], order[1:], strict=True)}
     if len(order) > 1:
         heads_df = docs.sparkSession.createDataFrame([(i, a) for i, a in heads.items()], "_id long, _prev long")
-        tails = dealt.join(F.broadcast(heads_df), "_id").select("_id", "_text", F.col("_prev").alias("_bucket"))
+        # Of a head's id the first text alone, however often the id occurs.
+        tails = dealt.join(F.broadcast(heads_df), "_id").groupBy("_id", "_prev").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")).select("_id", "_text", F.col("_prev").alias("_bucket"))
         rows = dealt.withColumn("_tail", F.lit(False)).unionByName(tails.withColumn("_tail", F.lit(True)))
     else:
         rows = dealt.withColumn("_tail", F.lit(False))
@@ -163,8 +164,9 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int
     A text's last half is replaced by the beginning of the next text; after the last row comes the first.
     """
     rows = with_next(docs, id, text, bucket)
-    first = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).orderBy(F.col("_id").asc_nulls_first(), "_text").limit(1).collect()
-    wrap = (first[0]["_text"] or "") if first else ""
+    own = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    least = own.agg(F.min(F.struct(F.col("_id").isNotNull(), "_id")).alias("_f")).first()["_f"]
+    wrap = own.where(F.col("_id").eqNullSafe(F.lit(least["_id"]).cast("long"))).agg(F.min("_text")).first()[0] if least else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None  # the last row seen: bucket, id, text, tail; its successor isn't known yet

@@ -8,14 +8,18 @@ each word in its class:
 with the absolute discount D estimated from words seen once and twice; a class without training tokens gives 1.
 These are probabilities over the known words and one unknown word for each class.
 
+The states model runs of word classes (endings and short words: language, style, kind of text), not words; what grows with
+the corpus is the table of word counts, from which each word gets its share in its class.
+
 Training: states start from a bounded sample (SAMPLE_ROWS texts, fitted on the driver), because Baum-Welch needs unequal
-states to begin with; then ITERATIONS passes over all training rows follow, whose expected counts are summed across
-partitions. Counts of words, N_k and V_k come from all training rows.
+states to begin with; it only breaks the symmetry, as passes over all training rows follow, whose expected counts are
+summed across partitions, until a pass gains less than TOLERANCE of the log likelihood or ITERATIONS are done. Counts of
+words, N_k and V_k come from all training rows.
 
 How it runs: the texts are read once into a table with a row for each text (its classes in order, and its distinct words
-as numbers in a chunk's word list) and a row for each word of a chunk's list. Word lists meet by word to sum the counts,
-which return to their chunk; so the corpus's vocabulary is never in one place, and a frequent word is one row for each
-chunk. A chunk is at most CHUNK_BYTES of text of one input partition (a longer text alone).
+as numbers in a chunk's word list) and a row for each word of a chunk's list. Counts are summed by word, in part before they
+move, and return to the chunks by a join, whose skew (a frequent word has a row in each chunk) Spark may split; so the
+corpus's vocabulary is never in one place. A chunk is at most CHUNK_BYTES of text of one input partition (a longer text alone).
 
 Defined results: null and empty texts have the end token only; rows with equal ids keep apart; a null id is a training
 row; without training rows N and V are 0 and states are alike; other columns are not read.
@@ -28,15 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 STATES, CLASSES = 6, 1 << 14
-ITERATIONS = 2
-#: The sample that the states start from: rows, characters of a row, and rounds of each of its two steps.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_ROUNDS = 400, 10_000, 10
+#: The most passes over all training rows, and the relative gain of log likelihood that ends them before.
+ITERATIONS, TOLERANCE = 4, 1e-3
+#: The sample that the states start from: rows, tokens of a row, and rounds of each of its two steps.
+SAMPLE_ROWS, SAMPLE_TOKENS, SAMPLE_ROUNDS = 400, 2000, 10
 PRIOR = 50.0
 CHUNK_BYTES, BATCH_BYTES = 12 << 20, 1 << 20
 
@@ -135,12 +140,10 @@ def maximised(counts: tuple) -> Model:
     return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), own)
 
 
-def beginning(texts: list[str], seed: int = 3) -> Model:
-    """A model fitted on a few texts: a mixture over whole texts first, whose parts become sticky states."""
+def beginning(cls: np.ndarray, at: np.ndarray, seed: int = 3) -> Model:
+    """A model fitted on the classes of a few texts: a mixture over whole texts first, whose parts become sticky states."""
     r = np.random.default_rng(seed)
-    w = TOKENS.words(texts)
-    cls, at = with_ends(classes_of(w), w.offsets)
-    n = len(texts)
+    n = len(at) - 1
     if not n:
         return maximised(empty_counts())
     text = np.repeat(np.arange(n), np.diff(at))
@@ -209,30 +212,30 @@ def coded(docs: DataFrame, id: str, text: str, held) -> DataFrame:
             yield pd.DataFrame({"kind": 1, "g": g, "d": np.arange(a, a + n), "id": None, "held": None, "n": None, "cls": None, "idx": None, "tf": None, "word": words[part].view(np.int64), "own": own[part], "c": c[part]})
 
     spark = docs.sparkSession
-    path = f"{shared.shared_folder(spark)}/coded-{shared.uuid.uuid4().hex}"
+    path = shared.folder(spark, "coded")
     slim.mapInPandas(run, CODED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     return spark.read.schema(CODED).parquet(path)
 
 
-def expected(texts: DataFrame, model: Model) -> tuple:
-    """The expected counts of all training texts, summed across partitions; CLASSES * STATES numbers come to the driver."""
+def expected(texts: DataFrame, model: Model) -> tuple[tuple, float]:
+    """The expected counts of all training texts, summed across partitions, and their log likelihood; CLASSES * STATES numbers come to the driver."""
     shipped = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = empty_counts()
+        counts, like = empty_counts(), np.zeros((1, STATES))
         for pdf in sequences(batches):
-            shipped.value.run(*pdf[1], counts)
+            like[0, 0] += shipped.value.run(*pdf[1], counts).sum()
         start, move, emit = counts
-        every = np.concatenate([emit, move, start[None]])
+        every = np.concatenate([emit, move, start[None], like])
         used = np.flatnonzero(every.any(1))
         yield pd.DataFrame({"row": used} | {f"s{s}": every[used, s] for s in range(STATES)})
 
     columns = [f"s{s}" for s in range(STATES)]
     rows = texts.where(~F.col("held")).select("n", "cls").mapInPandas(run, "row long, " + ", ".join(f"{c} double" for c in columns))
     got = rows.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
-    every = np.zeros((CLASSES + 1 + STATES + 1, STATES))
+    every = np.zeros((CLASSES + 1 + STATES + 2, STATES))
     every[got["row"].to_numpy(np.int64)] = got[columns].to_numpy()
-    return every[-1], every[CLASSES + 1 : -1], every[: CLASSES + 1]
+    return (every[-2], every[CLASSES + 1 : -2], every[: CLASSES + 1]), float(every[-1, 0])
 
 
 def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, tuple[np.ndarray, np.ndarray]]]:
@@ -249,18 +252,28 @@ def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, t
             yield own, (np.frombuffer(b"".join(own["cls"]), np.uint16), at)
 
 
-def word_counts(table: DataFrame) -> DataFrame:
-    """Words of the chunks' lists with their counts in all training rows: g, i, own, c, and first, true in one row of each word."""
+def word_counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each word of the corpus with its class and its count in all training rows (own, c), and the chunks' words with those (cg, i, own, c)."""
     words = table.where("kind = 1").select("word", F.col("d").cast("int").alias("i"), "g", "own", "c")
-    same = Window.partitionBy("word")
-    return shared.written(words.select("g", "i", "own", F.sum("c").over(same).alias("c"), (F.min("g").over(same) == F.col("g")).alias("first")), "counts")
+    totals = shared.written(words.groupBy("word").agg(F.min("own").alias("own"), F.sum("c").alias("c")), "totals")
+    return totals, words.select("word", "g", "i").join(totals, "word").select(F.col("g").alias("cg"), "i", "own", "c")
+
+
+def sample_of(texts: DataFrame, rows: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and offsets of at most `rows` training texts of at most `tokens` tokens, drawn by a bound on their hash: about that many move."""
+    own = texts.where((~F.col("held")) & (F.col("n") <= tokens) & (F.col("n") > 1)).select("cls", F.xxhash64("id", "cls").alias("h"), F.lit(0).alias("one"))
+    few = own.where(shared.drawn("one", {0: own.count()}, rows + 5 * int(rows**0.5) + 20, F.col("h")))
+    got = [np.frombuffer(r["cls"], np.uint16) for r in few.orderBy("h", "cls").limit(rows).select("cls").collect()]
+    at = np.zeros(len(got) + 1, np.int64)
+    np.cumsum([len(x) for x in got], out=at[1:])
+    return np.concatenate([np.zeros(0, np.uint16), *got]), at
 
 
 class Words:
     """What a class says about its words."""
 
-    def __init__(self, counts: DataFrame):
-        own = counts.where("first AND c > 0").groupBy("own").agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)), F.sum(F.when(F.col("c") == 2, 1).otherwise(0))).collect()
+    def __init__(self, totals: DataFrame):
+        own = totals.where("c > 0").groupBy("own").agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)), F.sum(F.when(F.col("c") == 2, 1).otherwise(0))).collect()
         self.tokens, self.kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
         once = twice = 0
         for k, n, v, one, two in own:  # a row for each class
@@ -275,18 +288,20 @@ class Words:
         return np.log10(np.where(n > 0, p, 1.0))
 
 
-def score(docs: DataFrame, id: str, text: str, held, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, id: str, text: str, held, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     table = coded(docs, id, text, held)
     texts = table.where("kind = 0")
-    sample = docs.where(~F.coalesce(held, F.lit(False)) & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    sample = sample.select(F.xxhash64(F.col(id)).alias("_h"), F.col(text).alias("_t")).orderBy("_h", "_t").limit(SAMPLE_ROWS)
-    model = beginning([r["_t"] for r in sample.collect()])
+    model, was = beginning(*sample_of(texts, SAMPLE_ROWS, SAMPLE_TOKENS)), -np.inf
     for _ in range(iterations):
-        model = maximised(expected(texts, model))
-    counts = word_counts(table)
-    words = Words(counts)
+        counted, like = expected(texts, model)
+        model = maximised(counted)
+        if like - was < tolerance * abs(like):
+            break
+        was = like
+    totals, counts = word_counts(table)
+    words = Words(totals)
     ends = texts.where(~F.col("held")).count()
     n_all, v_all = words.n_words + ends, words.v_words + (ends > 0)
     shipped, known = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(words)
@@ -312,7 +327,7 @@ def score(docs: DataFrame, id: str, text: str, held, iterations: int = ITERATION
         return pd.DataFrame({"g": left["g"], "d": left["d"], "id": left["id"].astype("Int64"), "held": left["held"], "n": left["n"], "k": out[:, 0].astype(np.int64) + (1 if ends else 0), "base": out[:, 1] + end, "own": out[:, 2]})
 
     left = texts.select("g", "d", "id", "held", "n", "idx", "tf").groupBy("g")
-    met = left.cogroup(counts.select("g", "i", "own", "c").groupBy("g")).applyInPandas(meet, "g long, d long, id long, held boolean, n long, k long, base double, own double")
+    met = left.cogroup(counts.groupBy("cg")).applyInPandas(meet, "g long, d long, id long, held boolean, n long, k long, base double, own double")
     out = met.join(likes, ["g", "d"])
     return out.select(F.col("id").alias(id), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("k").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("own") + F.col("ll")).alias("score"))
 

@@ -6,7 +6,8 @@ the trees are laid out as one table: a row for each context known to any languag
 language. A text's code length in a language is the exact sum over all its bytes; the shortest code wins.
 
 Defined results: a null text, or one without a letter, gives `und` with score 0; with no labelled row at all every text
-gives `und`; ties go to the language that sorts first. Rows are never dropped, and other columns pass through unread.
+gives `und`; ties go to the language that sorts first. Equal rows get equal results; rows are never dropped. Columns named
+lang_pred, score and bits_per_byte are replaced, all others pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ ORDER = 3
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: A context needs as many bytes in the sample to get a row of its own; rarer ones use the next shorter context.
 LEAST = 3
+#: Numbers in the table of all languages, which the driver builds and broadcasts: with many languages the least count of a
+#: context is doubled until the table is no larger.
+CELLS = 32 << 20
 BATCH_BYTES = 1 << 19
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -34,7 +38,7 @@ LETTER = regex.compile(r"\p{L}")
 class Trees:
     """The frozen context trees of all languages as lookup tables."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, least: int = LEAST):
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, least: int = LEAST, cells: int = CELLS):
         self.langs = sorted(samples)
         self.order = order
         streams = {k: [t.lower().encode("utf-8", "surrogatepass") for t in v] for k, v in samples.items()}
@@ -47,14 +51,10 @@ class Trees:
         self.classes[seen] = np.arange(1, int(seen.sum()) + 1)
         self.m = int(seen.sum()) + 2
         grams = {k: [self._grams(v, n) for n in range(1, order + 2)] for k, v in streams.items()}
-        known = [np.zeros(1, np.int64)]  # contexts of each length that have rows, as numbers in base m
-        for n in range(1, order + 1):
-            heads = [g[n][0] // self.m for g in grams.values()]
-            tails = [g[n][1] for g in grams.values()]
-            key, where = np.unique(np.concatenate([*heads, np.zeros(0, np.int64)]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([*tails, np.zeros(0)]), len(key))
-            keep = key[total >= least]
-            known.append(keep[np.isin(keep % self.m ** (n - 1), known[n - 1])] if n > 1 else keep)
+        known = self._known(grams, least)
+        while sum(map(len, known)) * self.m * len(self.langs) > cells and least < 1 << 40:
+            least *= 2
+            known = self._known(grams, least)
         # rows[n][context]: the row of the longest known context among its last n bytes.
         rows, first = np.zeros(1, np.int64), 1
         for n in range(1, order + 1):
@@ -67,6 +67,18 @@ class Trees:
         for j, k in enumerate(self.langs):
             self.bits[:, :, j] = self._lengths(grams[k], known)
 
+    def _known(self, grams: dict, least: int) -> list[np.ndarray]:
+        """The contexts of each length that have rows, as numbers in base m."""
+        known = [np.zeros(1, np.int64)]
+        for n in range(1, self.order + 1):
+            heads = [g[n][0] // self.m for g in grams.values()]
+            tails = [g[n][1] for g in grams.values()]
+            key, where = np.unique(np.concatenate([*heads, np.zeros(0, np.int64)]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([*tails, np.zeros(0)]), len(key))
+            keep = key[total >= least]
+            known.append(keep[np.isin(keep % self.m ** (n - 1), known[n - 1])] if n > 1 else keep)
+        return known
+
     def _grams(self, texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of byte classes, each text after n - 1 start marks, and their counts."""
         data, at = self._laid_out(texts, self.order)
@@ -157,15 +169,17 @@ def predict(trees: Trees, texts: list) -> tuple[list[str], np.ndarray, np.ndarra
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, order: int = ORDER) -> Trees:
-    """Trees of at most `rows` labelled texts of at most `chars` characters for each language, picked by a hash of the id.
+    """Trees of at most `rows` labelled texts of at most `chars` characters for each language, picked by a hash of id and text.
 
-    The pick keeps `rows` rows of each language in every input partition before anything moves, and only ids move.
+    Rows are drawn by a bound on their hash, which follows from the number of rows of a language, and only the drawn ones
+    are ranked, so a task sees about `rows` of a language, however many there are.
     """
-    few = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(id).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_h"))
-    rank = Window.partitionBy("_lang").orderBy("_h", "_id")
-    ids = few.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows).select("_id").distinct()
-    chosen = docs.join(F.broadcast(ids), F.col(id).eqNullSafe(F.col("_id")), "left_semi")
-    chosen = chosen.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars)).select(lang, text)
+    own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars))
+    own = own.select(F.col(lang).alias("_lang"), F.xxhash64(id, text).alias("_h"), F.col(text).alias("_text"))
+    counts = {r["_lang"]: r["count"] for r in own.groupBy("_lang").count().collect()}  # a row for each language
+    few = own.where(shared.drawn("_lang", counts, rows + 5 * int(rows**0.5) + 20, F.col("_h")))
+    rank = Window.partitionBy("_lang").orderBy("_h", "_text")
+    chosen = few.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows).select("_lang", "_text")
     samples: dict[str, list[str]] = {}
     for k, t in sorted(map(tuple, chosen.collect())):
         samples.setdefault(k, []).append(t)
@@ -173,7 +187,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and bits_per_byte added, all other columns kept as they are."""
+    """docs with lang_pred, score and bits_per_byte (in place of columns of those names), all other columns kept as they are."""
     shipped = docs.sparkSession.sparkContext.broadcast(trees)
     names = ["lang_pred", "score", "bits_per_byte"]
     kept = docs.drop(*names)

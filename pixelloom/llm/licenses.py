@@ -38,6 +38,19 @@ TEMPLATES = {
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "mit": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    # The opening or telling sentences of published license texts, which go over several lines.
+    "agpl-notice": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+    "boost-1.0": "distributed under the boost software license version 1 0",
+    "bsd-3-clause": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "cc0": "to the extent possible under law has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
 #: Words without which a text isn't about the license, whatever else it shares with the template.
 REQUIRED = {
@@ -48,6 +61,18 @@ REQUIRED = {
     "gpl-3.0": "gnu general 3",
     "mit": "mit",
     "mpl-2.0": "mozilla 2",
+    "agpl-notice": "affero general",
+    "apache-basis": "applicable license basis",
+    "boost-1.0": "boost 1",
+    "bsd-3-clause": "endorse promote contributors",
+    "cc0": "waived copyright rights",
+    "epl-2.0": "eclipse 2",
+    "gpl-notice": "gnu general redistribute program",
+    "isc": "permission distribute fee",
+    "lgpl-notice": "lesser general",
+    "mit-text": "permission charge deal",
+    "unlicense": "unencumbered domain",
+    "zlib": "authors liable warranty",
 }
 
 

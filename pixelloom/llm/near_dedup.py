@@ -44,7 +44,7 @@ BATCH_BYTES = 1 << 20
 #: Documents of one block of a bucket, and of one group of pairs with the same first document.
 BLOCK, GROUP = 1000, 200
 #: Ids (16 bytes each) up to which the list of candidates is broadcast to pick their texts; beyond, it is joined by shuffles.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 200_000
 
 TOKENS = shared.Tokenizer(shared.SPACE_SEPARATORS)
 _SEEDS = shared.mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64))

@@ -10,7 +10,7 @@ Pieces are numbered inside a bucket without gathering it: a bucket is dealt by h
 each slot numbers its own, and running totals over the slots shift them.
 
 Defined results: null and empty texts have length 1; rows with equal ids keep apart (they are ordered by id, text hash,
-piece; equal rows get neighbouring places); no rows give no batches. Other columns are not read by `pack`.
+piece; equal rows get neighbouring places in parts of a slot); no rows give no batches. Other columns are not read by `pack`.
 """
 
 from __future__ import annotations
@@ -80,8 +80,12 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", longest: int =
     whole = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_h"), n.alias("_n"))
     cut = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / longest).cast("int"))))
     sized = cut.select("_id", "_h", "piece", F.least(F.lit(longest), F.col("_n") - F.col("piece") * longest).cast("int").alias("n_tokens"))
+    # Equal pieces are one row with their number, cut into parts of a slot, so that no task numbers all of a frequent one.
+    alike = sized.groupBy("_id", "_h", "piece", "n_tokens").agg(F.count("*").alias("_k"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_k") - 1) / slot))).alias("_part")
+    sized = alike.select("_id", "_h", "piece", "n_tokens", "_k", part).withColumn("_k", F.least(F.lit(slot), F.col("_k") - F.col("_part") * slot))
     sized = shared.written(sized, "lengths")
-    hist = {r["n_tokens"]: r["count"] for r in sized.groupBy("n_tokens").count().collect()}
+    hist = {r["n_tokens"]: r["n"] for r in sized.groupBy("n_tokens").agg(F.sum("_k").alias("n")).collect()}
     bounds = best_bounds(hist, buckets)
     # Buckets, their slots and their batch sizes: one row for each length, at most `longest` rows.
     filled: dict[int, int] = {b: 0 for b in bounds}
@@ -90,14 +94,14 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", longest: int =
         filled[of[length]] += many
     rows = [(length, b, max(1, budget // b), max(1, -(-filled[b] // slot))) for length, b in of.items()]
     plan = spark.createDataFrame(rows, "n_tokens int, bucket int, _rows int, _slots int")
-    placed = sized.join(F.broadcast(plan), "n_tokens").withColumn("_slot", F.pmod(F.xxhash64("_id", "_h", "piece"), F.col("_slots")))
+    placed = sized.join(F.broadcast(plan), "n_tokens").withColumn("_slot", F.pmod(F.xxhash64("_id", "_h", "piece", "_part"), F.col("_slots")))
     before = Window.partitionBy("bucket").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("bucket", "_slot").count().select("bucket", "_slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("bucket", "_slot").orderBy("_id", "_h", "piece")
-    numbered = placed.withColumn("_i", F.row_number().over(own)).join(totals, ["bucket", "_slot"])
-    at = F.col("_before") + F.col("_i") - 1
-    batch = F.format_string("%d-%d", F.col("bucket"), F.floor(at / F.col("_rows")))
-    return numbered.select(F.col("_id").alias(id), "piece", "n_tokens", "bucket", batch.alias("batch"), (at % F.col("_rows")).cast("int").alias("place"))
+    totals = placed.groupBy("bucket", "_slot").agg(F.sum("_k").alias("_all")).select("bucket", "_slot", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("bucket", "_slot").orderBy("_id", "_h", "piece", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_i", F.coalesce(F.sum("_k").over(own), F.lit(0))).join(totals, ["bucket", "_slot"])
+    every = numbered.withColumn("_at", F.explode(F.sequence(F.col("_before") + F.col("_i"), F.col("_before") + F.col("_i") + F.col("_k") - 1)))
+    batch = F.format_string("%d-%d", F.col("bucket"), F.floor(F.col("_at") / F.col("_rows")))
+    return every.select(F.col("_id").alias(id), "piece", "n_tokens", "bucket", batch.alias("batch"), (F.col("_at") % F.col("_rows")).cast("int").alias("place"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

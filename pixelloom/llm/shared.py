@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,14 +31,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where the session has none (tests in local mode) a temporary one is set.
+    Only where the session has none (tests in local mode) a temporary one is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+#: Folders of intermediate tables that this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one; it is removed when the driver's JVM ends, or by `remove`."""
+    sc = spark.sparkContext
+    base = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pixelloom-{sc.applicationId}")
+    store = base.getFileSystem(sc._jsc.hadoopConfiguration())
+    store.mkdirs(base)
+    store.deleteOnExit(base)
+    uri = f"{store.makeQualified(base).toString()}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(uri)
+    return uri
+
+
+def live() -> list[str]:
+    """The URIs of the intermediate tables, the one written last at the end."""
+    return list(_WRITTEN)
+
+
+def remove(spark: SparkSession, keep: list[str]) -> None:
+    """Removes all intermediate tables but those under the URIs in keep; for use when what reads them has been written."""
+    for uri in [u for u in _WRITTEN if u not in keep]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(uri)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -47,7 +79,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again (smaller than a checkpoint)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +102,20 @@ def remainder(col: Column, k: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % k
 
 
+def drawn(group: str, counts: dict, rows: int, hash: Column) -> Column:
+    """Whether a row is drawn: about `rows` of each group, whose sizes are counts, by a bound on a hash of 64 bits.
+
+    The rows drawn are those with the least hashes, so a larger draw holds every smaller one; `rows` is exceeded by five
+    standard deviations with a probability of 1 in a million only, and all rows of a group of at most `rows` are drawn.
+    """
+    out = F.lit(False)
+    for value, n in counts.items():
+        bound = -(2**63) + int(2**64 * rows / max(1, n))
+        mine = F.col(group).eqNullSafe(F.lit(value))
+        out = out | (mine if n <= rows else mine & (hash < F.lit(bound)))
+    return out
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -1,13 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Each word enters as a vector with a part for the word and a part for its characters: word vectors for the words of the
-training sample, and the mean of hashed character-trigram vectors for every word. Windows of WINDOW words, one each STEP
-words, so that neighbours overlap, run through one gated recurrent unit in each direction; attention pools the hidden
-states of a window into one logit. A text's score is that of its highest window, calibrated on the training sample. All
-windows of the whole text are scored.
-
-Defined results: null and empty texts have one empty window, whose score is the calibrated bias; without any labelled
-row, or with one class only, every score is 0. Of several labels of a row the largest counts. Rows are never dropped.
+training sample, and the mean of hashed character-trigram vectors for every word. All windows of WINDOW words, one at
+each word, run through one gated recurrent unit in each direction; attention pools the hidden states of a window into one
+logit. A text's score is that of its highest window, calibrated on the training sample. All windows of the whole text are
+scored; as neighbours differ by one word, a word's projection is computed once and a step reads a shifted view of it.
+
+Defined results: null and empty texts have one empty window, whose score is the calibrated bias; a text shorter than a
+window has one window with padding that changes no state; without any labelled row, or with one class only, every score
+is 0. Of several labels of an id the largest counts, of several texts of a labelled id one (the least hash) is learned.
+Rows are never dropped, equal rows get equal scores; columns named score and predicted are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WINDOW, STEP = 16, 8
+WINDOW = 8
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_SLOTS, VOCABULARY = 6, 4, 4, 4096, 8192
 #: Bounds of the labelled sample that the network is fitted on: rows for each class, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
-#: Empty texts that are added as clean ones, so that the empty window has a learned score.
-EMPTY_ROWS = 50
-EPOCHS, BATCH, RATE = 6, 128, 0.03
+#: Empty texts that are added as clean ones, so that the empty window has a learned score: one for so many texts.
+EMPTY_SHARE = 50
+#: Rounds over the sample, and the steps below which a small sample gets more rounds (MOST_EPOCHS at the most).
+EPOCHS, STEPS, MOST_EPOCHS = 6, 240, 40
+BATCH, RATE = 128, 0.03
 BATCH_BYTES = 1 << 20
-WINDOWS_AT_ONCE = 8192
+WINDOWS_AT_ONCE = 4096
 
 TOKENS = shared.Tokenizer(shared.PUNCT_SEPARATORS)
 
@@ -64,13 +68,19 @@ class Inputs:
         code = (before << np.uint32(16)) | (data[at] << np.uint32(8)) | after
         self.slot = ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int32) % CHAR_SLOTS
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each window starts in the tokens, and the text of each; a text without words has one empty window."""
+    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of all texts, each padded to a window at least; where each text begins; whether a window starts there.
+
+        The padding's number is that after the last word's. Every text has a window at its first place.
+        """
         n = np.diff(self.offsets)
-        count = 1 + np.maximum(0, -(-(n - WINDOW) // STEP))
-        text = np.repeat(np.arange(len(n)), count)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        return self.offsets[:-1][text] + place * STEP, text
+        size = np.maximum(n, WINDOW)
+        first = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(size, out=first[1:])
+        out = np.full(first[-1], len(self.hash), np.int32)
+        out[np.arange(len(self.token)) + np.repeat(first[:-1] - self.offsets[:-1], n)] = self.token
+        left = np.repeat(first[1:], size) - np.arange(first[-1])
+        return out, first[:-1], left >= WINDOW
 
 
 class Network:
@@ -104,24 +114,55 @@ class Network:
             out[:-1, WORD_DIM:] = np.add.reduceat(self.p["char"][x.slot], x.first, axis=0) / x.size[:, None]
         return out
 
-    def grid(self, x: Inputs, start: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Distinct word numbers of each window, time first; the padding has the number after the last."""
-        at = (start[None, :] + np.arange(WINDOW)[:, None]).astype(np.int32)
-        inside = at < x.offsets[text + 1].astype(np.int32)[None, :]
-        token = np.append(x.token, len(x.hash)).astype(np.int32)
-        return np.where(inside, token[np.minimum(at, np.int32(len(token) - 1))], np.int32(len(x.hash)))
+    def window_logits(self, x: Inputs, stream: np.ndarray) -> np.ndarray:
+        """The logit of the window at each place of the stream (also of those that no text has)."""
+        h, pad = HIDDEN, len(x.hash)
+        half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])[:, None]  # a sigmoid is half a tanh of half its argument
+        vec = self.vectors(x)
+        project = [np.ascontiguousarray((vec @ self.p["Wx"][d] + self.p["b"][d]).T * half) for d in (0, 1)]
+        back = [np.ascontiguousarray(self.p["Wh"][d].T * half) for d in (0, 1)]
+        pool = np.stack([self.p["u"].reshape(2, h), self.p["v"].reshape(2, h)], 1)
+        out = np.full(len(stream), -np.inf, np.float32)
+        for a in range(0, max(0, len(stream) - WINDOW + 1), WINDOWS_AT_ONCE):
+            token = stream[a : a + WINDOWS_AT_ONCE + WINDOW - 1]
+            m = len(token) - WINDOW + 1
+            blank = token == pad
+            full = not blank.any()
+            pooled = np.zeros((WINDOW, 2, m), np.float32)
+            for d in (0, 1):
+                gx = np.take(project[d], token, axis=1)
+                state = np.zeros((h, m), np.float32)
+                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                    gates = back[d][: 2 * h] @ state
+                    gates += gx[: 2 * h, t : t + m]
+                    np.tanh(gates, out=gates)
+                    gates *= np.float32(0.5)
+                    gates += np.float32(0.5)
+                    move = back[d][2 * h :] @ (gates[h:] * state)
+                    move += gx[2 * h :, t : t + m]
+                    np.tanh(move, out=move)
+                    move -= state
+                    move *= gates[:h]
+                    if not full:
+                        move[:, blank[t : t + m]] = 0
+                    state = state + move
+                    pooled[t] += pool[d] @ state
+            e = pooled[:, 0]
+            if not full:
+                blanks = np.stack([blank[t : t + m] for t in range(WINDOW)])
+                e[blanks] = -1e9
+            e -= e.max(0)
+            weight = np.exp(e, out=e)
+            weight /= weight.sum(0)
+            if not full:
+                weight[blanks] = 0
+            out[a : a + m] = (weight * pooled[:, 1]).sum(0) + self.p["c"][0]
+        return out
 
     def logits(self, x: Inputs) -> np.ndarray:
         """The highest window's logit of each text."""
-        start, text = x.windows()
-        top = np.full(len(x.offsets) - 1, -np.inf)
-        vec = self.vectors(x)
-        project = [vec @ self.p["Wx"][d] + self.p["b"][d] for d in (0, 1)]
-        for a in range(0, len(start), WINDOWS_AT_ONCE):
-            s, t = start[a : a + WINDOWS_AT_ONCE], text[a : a + WINDOWS_AT_ONCE]
-            logit = self.forward(self.grid(x, s, t), project, len(x.hash))
-            np.maximum.at(top, t, logit)
-        return top
+        stream, first, starts = x.stream()
+        return np.maximum.reduceat(np.where(starts, self.window_logits(x, stream), -np.inf), first).astype(np.float64)
 
     def forward(self, grid: np.ndarray, project: list, pad: int, keep: dict | None = None) -> np.ndarray:
         """Logits of windows given as word numbers (time first); padded places change no state and get no attention."""
@@ -209,11 +250,12 @@ class Network:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
-    """A network fitted on labelled texts: each text is represented by its highest window, and clean ones by a random one too."""
+    """A network fitted on labelled texts: each text is represented by its highest window, and clean ones by random ones too."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    texts, y = [*texts, *[""] * EMPTY_ROWS], np.append(y, np.zeros(EMPTY_ROWS, np.float32))
+    blank = max(1, len(y) // EMPTY_SHARE)
+    texts, y = [*texts, *[""] * blank], np.append(y, np.zeros(blank, np.float32))
     x = Inputs(texts)
     owner = np.repeat(np.arange(len(y)), np.diff(x.offsets))
     pair = np.unique(owner * max(1, len(x.hash)) + x.token)  # each word of a text once
@@ -227,29 +269,31 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     # A word's first coordinate starts at its shrunken log odds, so that the first pick of windows is useful.
     shrunk = odds * (bad + good) / (bad + good + 20.0)
     net = Network(x.hash[often], shrunk[often] / 2, seed)
-    start, text = x.windows()
+    stream, first, starts = x.stream()
+    text = np.repeat(np.arange(len(y)), np.diff(np.append(first, len(stream))))
     known = np.zeros(len(x.hash) + 1)
-    known[often] = shrunk[often]
-    grid = net.grid(x, start, text)
-    window_score = np.maximum(known[grid], 0).sum(0)
+    known[often] = np.maximum(shrunk[often], 0)
+    sums = np.append(0, np.cumsum(known[stream]))
+    score = sums[np.minimum(np.arange(len(stream)) + WINDOW, len(stream))] - sums[:-1]
     r = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    a_round = -(-2 * len(y) // BATCH)
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // a_round)))
     step = 0
-    for epoch in range(EPOCHS):
-        if epoch in (2, 4):  # from here on the network picks the windows itself
-            vec = net.vectors(x)
-            project = [vec @ net.p["Wx"][d] + net.p["b"][d] for d in (0, 1)]
-            window_score = np.concatenate([net.forward(grid[:, a : a + WINDOWS_AT_ONCE], project, len(x.hash)) for a in range(0, grid.shape[1], WINDOWS_AT_ONCE)])
-        order = np.lexsort((r.random(len(text)), window_score, text))
+    place = np.flatnonzero(starts)
+    some = place[y[text[place]] == 0]
+    for epoch in range(epochs):
+        if epoch in (epochs // 3, 2 * epochs // 3):  # from here on the network picks the windows itself
+            score = net.window_logits(x, stream)
+        order = place[np.lexsort((r.random(len(place)), score[place], text[place]))]
         top = order[np.append(np.flatnonzero(np.diff(text[order])), len(order) - 1)]
-        some = np.flatnonzero(y[text] == 0)
         pick = np.concatenate([top, r.choice(some, min(len(some), len(y)), replace=False)])
         r.shuffle(pick)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(pick), BATCH):
             own = pick[a : a + BATCH]
             step += 1
-            for k, g in net.gradients(x, grid[:, own], y[text[own]]).items():
+            for k, g in net.gradients(x, stream[own + np.arange(WINDOW)[:, None]], y[text[own]]).items():
                 m, s = moment[k]
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
@@ -271,14 +315,24 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network | None:
     """A network fitted on at most `rows` labelled texts of each class, of at most `chars` characters, picked by a hash of the id.
 
-    Only ids and labels are ranked, `rows` of each class from every partition at most; the texts of at most 2 * `rows`
-    ids come to one task, which trains, and the driver gets the network alone (about half a megabyte).
+    Ids are drawn by a bound on their hash, which follows from the number of labels of a class, so a task sees a few
+    times `rows` of them, however many there are. Where too few of the drawn ids have such a text, more are drawn. One
+    task trains; the driver gets the network alone (about half a megabyte).
     """
-    one = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
-    rank = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    few = one.where(F.col("_y").isin(0, 1)).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows).select("_id", "_y")
+    one = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
     own = docs.where(F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    sample = own.join(F.broadcast(few), "_id").select("_id", "_y", "_text").distinct().limit(4 * rows)
+    counts = {r["_y"]: r["count"] for r in one.groupBy("_y").count().collect()}
+    drawn = 2 * rows
+    while True:
+        few = one.where(shared.drawn("_y", counts, drawn, F.xxhash64("_id")))
+        sample = own.join(F.broadcast(few), "_id").groupBy("_id", "_y").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+        sample = shared.written(sample, "labelled")
+        got = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+        if all(got.get(y, 0) >= rows or drawn >= n for y, n in counts.items()):
+            break
+        drawn *= 4
+    rank = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
+    sample = sample.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= rows).select("_id", "_y", "_text").coalesce(1)
 
     def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted(row for pdf in batches for row in pdf.itertuples(index=False, name=None))
@@ -289,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
 
 def score(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """docs with score and predicted added, all other columns kept as they are."""
+    """docs with score and predicted (in place of columns of those names), all other columns kept as they are."""
     shipped = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.drop("score", "predicted")
 

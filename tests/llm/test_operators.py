@@ -159,9 +159,31 @@ def test_warc_round_trip(spark, tmp_path):
         assert (x["record_type"], x["refers_to"]) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
     again = f"file://{tmp_path}/b"
     warc.write(pages.repartition(2), again, shard_bytes=4000, roll_bytes=1500)
-    files = sorted(p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith(".crc"))
-    assert all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in files)
-    assert not any(f.startswith(".") for f in files)
+    files = {k: sorted(p.relative_to(tmp_path / k) for p in (tmp_path / k).rglob("*") if p.is_file() and not p.name.endswith(".crc")) for k in "ab"}
+    assert files["a"] == files["b"] and all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in files["a"])
+    assert not any(f.name.startswith(".") for f in files["a"])
+
+
+def test_warc_far_hot_and_repeated_ids(spark, tmp_path):
+    """Far ids keep many shards; null and repeated ids are dealt to several; each row has its record."""
+    big = 2**60 + 1
+    rows = [(k, f"u{k}", f"{k} " * 100) for k in range(200)] + [(big, "far", "0 " * 100), (big + 1, "far", "other")]
+    rows += [(50, f"v{k}", f"{k % 4} " * 150) for k in range(100)] + [(None, f"n{k}", f"null {k}" * 30) for k in range(60)] + [(7, "same", "same")] * 3
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _page int")
+    folder = f"file://{tmp_path}/a"
+    shards = warc.write(pages, folder, shard_bytes=20_000, roll_bytes=3000).groupBy("shard").count().count()
+    assert shards > 12
+    got = warc.read(spark, folder).collect()
+    assert all(x["sound"] for x in got)
+    assert collections.Counter((x["page_id"], x["payload_digest"]) for x in got) == collections.Counter((i, warc.digest(h.encode())) for i, _, h in rows)
+    for h in {h for *_, h in rows}:
+        same = [x for x in got if x["payload_digest"] == warc.digest(h.encode())]
+        ids = [i for i, _, own in rows if own == h]
+        first = None if None in ids else min(ids)
+        assert [x["page_id"] for x in same if x["record_type"] == "response"][:1] == [first]
+        assert all(x["refers_to"] == first for x in same if x["record_type"] == "revisit")
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
 def test_fingerprint(spark):
@@ -231,8 +253,9 @@ def test_toxicity_gradients_and_accuracy():
     assert s[0] < 0.5 <= s[1] and s[2] == s[3] < 0.5
     assert toxicity.train(texts, [0] * 300) is None
     x = toxicity.Inputs(texts[:5])
-    start, text = x.windows()
-    grid, y = net.grid(x, start, text), np.arange(len(text)) % 2
+    stream, _, starts = x.stream()
+    place = np.flatnonzero(starts)
+    grid, y = stream[place + np.arange(toxicity.WINDOW)[:, None]], np.arange(len(place)) % 2
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
     g = net.gradients(x, grid, y)
