@@ -3,8 +3,9 @@
 Language identification removes documents without an identified language, toxicity those predicted toxic, near-duplicate
 removal all but one document of each component, benchmark decontamination those with a benchmark window; packing lays
 out what is left. Rows with null ids or texts take part: a null text has no language and goes. Rows are rejected one by one,
-by a key of their own, also where ids are null or repeated; rows with equal texts are near duplicates of each other. Each stage
-first gives back the driver's memory that the one before it took, and after training what that took.
+by a key of their own, also where ids are null or repeated; rows with equal texts are near duplicates of each other, and the
+first in the order of ids (nulls last) and text hashes stays. Extra columns stay as they are, whatever their names; an empty
+table gives empty results, with the same columns. Each stage first gives back the driver's memory that the one before it took, and after training what that took.
 """
 
 from __future__ import annotations
@@ -54,36 +55,43 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(clean("text"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_key`, a number for each row in the order of ids: the id itself where no id is null or repeated."""
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a number for each row in the order of ids: the id itself where no id is null or repeated."""
     id = F.col("doc_id").cast("long")
     rows = docs.agg(F.count("*").alias("n"), F.countDistinct(id).alias("k")).first()
     if rows["n"] == rows["k"]:
-        return docs.withColumn("_key", id)
+        return docs.withColumn(key, id)
     ordered = docs.orderBy(id.asc_nulls_last(), F.xxhash64("text"))
-    return shared.written(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return shared.written(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose `_key` is in rejected(_rejected), and without the key."""
-    rejected = shared.cut(rejected.distinct())
+def without(docs: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in the one column of rejected, and without the key."""
+    rejected = shared.cut(rejected.distinct()).toDF(name := fresh(docs, "_rejected"))
     if rejected.count() <= BROADCAST_IDS:
         rejected = F.broadcast(rejected)
-    return docs.join(rejected, F.col("_key") == F.col("_rejected"), "left_anti").drop("_key")
+    return docs.join(rejected, F.col(key) == F.col(name), "left_anti").drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.release(spark)
-    docs = keyed(docs)
-    found = near_dedup.dedupe(docs.select("_key", "text"), "_key")
-    return without(docs, found.where(~F.col("kept")).select(F.col("_key").alias("_rejected")))
+    docs = keyed(docs, key := fresh(docs, "_key"))
+    found = near_dedup.dedupe(docs.select(key, "text"), key)
+    return without(docs, key, found.where(~F.col("kept")).select(key))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.release(spark)
-    docs = keyed(docs)
-    found = decontaminate.overlaps(docs.select("_key", "text"), shared.table(spark, sf_dir, "benchmark"), "_key")
-    return without(docs, found.where("contaminated").select(F.col("_key").alias("_rejected")))
+    docs = keyed(docs, key := fresh(docs, "_key"))
+    found = decontaminate.overlaps(docs.select(key, "text"), shared.table(spark, sf_dir, "benchmark"), key)
+    return without(docs, key, found.where("contaminated").select(key))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,6 +113,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
+    others = shared.live()
     for name, stage in STAGES[:-1]:
         docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        shared.remove(spark, [*others, shared.live()[-1]])  # what the stage and the ones before it left is read no more
     return STAGES[-1][1](spark, docs, sf_dir)
