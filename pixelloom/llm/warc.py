@@ -144,10 +144,11 @@ def bounds_of(sizes: DataFrame, shard_bytes: int) -> tuple[np.ndarray, dict[int
     todo, parts = [(low, high + 1)], CELLS
     while todo:
         cut = [(a, b, max(1, -(-(b - a) // parts))) for a, b in todo]  # first id, the id after the last, ids of a cell
-        ranges = spark.createDataFrame([(k, a, b - 1, w) for k, (a, b, w) in enumerate(cut)], "_k int, _a long, _b long, _w long")
         if len(cut) == 1:
-            inside = sizes.where(F.col("_page").between(cut[0][0], cut[0][1] - 1)).withColumn("_k", F.lit(0))
+            a, b, w = cut[0]
+            inside = sizes.where(F.col("_page").between(a, b - 1)).select("*", F.lit(0).alias("_k"), F.lit(a).cast("long").alias("_a"), F.lit(w).cast("long").alias("_w"))
         else:
+            ranges = spark.createDataFrame([(k, a, b - 1, w) for k, (a, b, w) in enumerate(cut)], "_k int, _a long, _b long, _w long")
             firsts = np.array([a for a, _, _ in cut], np.int64)
 
             @F.pandas_udf("int")
@@ -155,7 +156,7 @@ def bounds_of(sizes: DataFrame, shard_bytes: int) -> tuple[np.ndarray, dict[int
                 return pd.Series(np.searchsorted(firsts, pages.to_numpy(np.int64), "right") - 1)
 
             inside = sizes.where(F.col("_page") >= int(firsts[0])).withColumn("_k", range_of("_page"))
-        inside = inside.join(F.broadcast(ranges), "_k").where(F.col("_page") <= F.col("_b"))
+            inside = inside.join(F.broadcast(ranges), "_k").where(F.col("_page") <= F.col("_b"))
         found = inside.groupBy("_k", F.expr("(_page - _a) div _w").alias("_c")).agg(F.sum("_size").alias("_n")).collect()
         todo, parts = [], FINER
         for r in found:
