@@ -1,8 +1,8 @@
-"""Baseline sequential coding by the public standard ITU-T T.81, in numpy but for the bit-serial reading of codes.
+"""Coding by the public standard ITU-T T.81, in numpy but for the bit-serial reading of codes.
 
 The writer makes each scan's code tables from the scan's own symbols, so it carries no example tables; the reader takes
-any table. Blocks that reach over the image's edge are filled with mid-gray. Progressive, arithmetic and lossless frames
-raise ValueError.
+any table, and baseline, extended, progressive and lossless Huffman-coded frames. Blocks that reach over the image's edge
+are filled with mid-gray. Arithmetic and hierarchical frames raise ValueError.
 """
 
 from __future__ import annotations
@@ -141,18 +141,22 @@ def scan_bytes(planes: list[np.ndarray], ids: list[int], restart: int) -> bytes:
     return b"".join(out)
 
 
-def encode(pixels: np.ndarray, quality: int = 75, restart: int = 0, planar: bool = False) -> bytes:
-    """pixels: height x width x 1 or 3 bytes. planar: one scan for each component instead of one for all."""
+def encode(pixels: np.ndarray, quality: int = 75, restart: int = 0, planar: bool = False, progressive: bool = False) -> bytes:
+    """pixels: height x width x 1 or 3 bytes. planar: one scan for each component instead of one for all; progressive: ten scans or fewer, without restarts."""
+    from . import progressive as scans_of
+
     height, width, n = pixels.shape
-    if n not in (1, 3) or pixels.dtype != np.uint8 or not pixels.size:
-        raise ValueError("one or three components of bytes are needed")
+    if n not in (1, 3) or pixels.dtype != np.uint8 or not pixels.size or (progressive and (restart or planar)):
+        raise ValueError("one or three components of bytes are needed, and options that go together")
     planes = pixels.astype(float)
     if n == 3:
         planes = np.clip(np.floor(planes @ FORWARD.T + np.array([0, 128, 128]) + 0.5), 0, 255)
     table = np.array(fixed.scaled(quality))
     levels = [levels_of(planes[:, :, i], table) for i in range(n)]
     out = [segments.segment(segments.SOI, bare=True), segments.segment(segments.DQT, bytes([0, *table[SCAN].tolist()]))]
-    out.append(segments.segment(0xC0, segments.frame_bytes(8, width, height, [(i + 1, 1, 1, 0) for i in range(n)])))
+    out.append(segments.segment(0xC2 if progressive else 0xC0, segments.frame_bytes(8, width, height, [(i + 1, 1, 1, 0) for i in range(n)])))
+    if progressive:
+        return b"".join([*out, scans_of.scans(levels), segments.segment(segments.EOI, bare=True)])
     if restart:
         out.append(segments.segment(segments.DRI, restart.to_bytes(2, "big")))
     for own in [[i] for i in range(n)] if planar else [list(range(n))]:
@@ -179,12 +183,18 @@ class Bits:
                 return found
         raise ValueError("unknown code")
 
+    def raw(self, n: int) -> int:
+        v = self.peek16() >> 16 - n if n else 0
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("scan is cut short")
+        return v
+
     def value(self, n: int) -> int:
         """A signed value of n bits; those that begin with 0 are negative."""
         if not n:
             return 0
-        v = self.peek16() >> 16 - n
-        self.at += n
+        v = self.raw(n)
         return v if v >> n - 1 else v - (1 << n) + 1
 
 
@@ -238,33 +248,50 @@ def read_block(bits: Bits, dc: dict, ac: dict, out: np.ndarray, before: int) ->
     return before
 
 
-def read_scan(data: bytes, head: dict, chosen: list[tuple[int, dict, dict]], restart: int, levels: dict) -> None:
-    """Levels of the scan's components; chosen: number of the component and its two tables."""
+class Sequential:
+    """A baseline scan's state; `block` takes the next block of its j-th component."""
+
+    def __init__(self, tables: list[tuple[dict, dict]]):
+        self.tables = tables
+        self.restart()
+
+    def restart(self) -> None:
+        self.before = [0] * len(self.tables)
+
+    def block(self, bits: Bits, j: int, out: np.ndarray) -> None:
+        self.before[j] = read_block(bits, *self.tables[j], out, self.before[j])
+
+
+def read_scan(data: bytes, head: dict, chosen: list[int], scan, restart: int, levels: dict) -> None:
+    """Levels of the scan's components, whose numbers are chosen."""
     parts = head["parts"]
     hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
     if len(chosen) == 1:  # blocks of the component alone, without those that only fill up units
-        _, h, v, _ = parts[chosen[0][0]]
+        _, h, v, _ = parts[chosen[0]]
         across, down = -(-(-(-head["width"] * h // hmax)) // 8), -(-(-(-head["height"] * v // vmax)) // 8)
         shape = [(1, 1)]
     else:
         across, down = -(-head["width"] // (8 * hmax)), -(-head["height"] // (8 * vmax))
-        shape = [parts[i][1:3] for i, _, _ in chosen]
+        shape = [parts[i][1:3] for i in chosen]
     pieces = re.split(rb"\xff[\xd0-\xd7]", data)
     units, each = across * down, restart or across * down
     if len(pieces) < -(-units // each):
         raise ValueError("scan is cut short")
     for first, piece in zip(range(0, units, each), pieces, strict=False):
-        bits, before = Bits(piece.replace(b"\xff\x00", b"\xff")), [0] * len(chosen)
+        bits = Bits(piece.replace(b"\xff\x00", b"\xff"))
+        scan.restart()
         for unit in range(first, min(units, first + each)):
-            for j, ((i, dc, ac), (h, v)) in enumerate(zip(chosen, shape, strict=True)):
+            for j, (i, (h, v)) in enumerate(zip(chosen, shape, strict=True)):
                 for y in range(v):
                     for x in range(h):
-                        before[j] = read_block(bits, dc, ac, levels[i][unit // across * v + y, unit % across * h + x], before[j])
+                        scan.block(bits, j, levels[i][unit // across * v + y, unit % across * h + x])
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """Samples (height x width x components, RGB where there are three) and bits a sample."""
-    head, codes, quantisers, levels, restart, seen = None, {}, {}, {}, 0, set()
+    from . import lossless, progressive
+
+    head, codes, quantisers, levels, restart, seen, frame, exact = None, {}, {}, {}, 0, set(), 0, {}
     for at, code, payload in segments.walk(data):
         if code == segments.DHT:
             read_tables(payload, codes)
@@ -273,26 +300,40 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
         elif code == segments.DRI:
             restart = int.from_bytes(payload[:2], "big")
         elif 0xC0 <= code <= 0xCF and code != 0xCC:
-            if code > 0xC1 or payload[:1] != b"\x08":
-                raise ValueError(f"{segments.name_of(code)} frames are not supported")
-            head = segments.frame(payload)
+            if code > lossless.SOF3 or (code != lossless.SOF3 and payload[:1] != b"\x08"):
+                raise ValueError(f"{segments.name_of(code)} frames of this depth are not supported")
+            head, frame = segments.frame(payload), code
             hmax, vmax = (max(p[i] for p in head["parts"]) for i in (1, 2))
             across, down = -(-head["width"] // (8 * hmax)), -(-head["height"] // (8 * vmax))
-            levels = {i: np.zeros((down * v, across * h, 64), np.int32) for i, (_, h, v, _) in enumerate(head["parts"])}
+            if code != lossless.SOF3:
+                levels = {i: np.zeros((down * v, across * h, 64), np.int32) for i, (_, h, v, _) in enumerate(head["parts"])}
+            elif any(p[1:3] != (hmax, vmax) for p in head["parts"]) or not 2 <= head["bits"] <= 16:
+                raise ValueError("lossless components of one sampling and 2 to 16 bits are needed")
         elif code == segments.SOS:
             if head is None or not payload or len(payload) < 4 + 2 * payload[0]:
                 raise ValueError("scan without a frame")
             number = {p[0]: i for i, p in enumerate(head["parts"])}
-            chosen = []
-            for j in range(payload[0]):
-                who, tables = payload[1 + 2 * j], payload[2 + 2 * j]
-                if who not in number or tables >> 4 not in codes or 0x10 | tables & 15 not in codes:
+            first, last, approximation = payload[1 + 2 * payload[0] : 4 + 2 * payload[0]]
+            chosen, tables = [], []
+            for who, which in zip(payload[1 : 1 + 2 * payload[0] : 2], payload[2 : 2 + 2 * payload[0] : 2], strict=True):
+                own = codes.get(which >> 4), codes.get(0x10 | which & 15)
+                needed = own if frame < 0xC2 else own[:1] if not first and not approximation >> 4 or frame == lossless.SOF3 else own[1:] if first else ()
+                if who not in number or None in needed:
                     raise ValueError("scan of unknown components or tables")
-                chosen.append((number[who], codes[tables >> 4], codes[0x10 | tables & 15]))
+                chosen.append(number[who])
+                tables.append(own)
             start = at + 4 + len(payload)
-            read_scan(data[start : segments.scan_end(data, start)], head, chosen, restart, levels)
-            seen |= {i for i, _, _ in chosen}
-    if head is None or len(seen) != len(head["parts"]) or any(p[3] not in quantisers for p in head["parts"]):
+            body = data[start : segments.scan_end(data, start)]
+            if frame == lossless.SOF3:
+                got = lossless.read_planes(body, head["width"], head["height"], head["bits"], first, approximation & 15, [t for t, _ in tables], restart)
+                exact |= dict(zip(chosen, got, strict=True))
+            else:
+                scan = progressive.Scan((first, last, approximation >> 4, approximation & 15), tables) if frame == 0xC2 else Sequential(tables)
+                read_scan(body, head, chosen, scan, restart, levels)
+            seen |= set(chosen)
+    if exact and len(exact) == len(head["parts"]):
+        return np.stack([exact[i] for i in range(len(exact))], axis=2).astype(np.uint8 if head["bits"] <= 8 else np.uint16), head["bits"]
+    if head is None or exact or len(seen) != len(head["parts"]) or any(p[3] not in quantisers for p in head["parts"]):
         raise ValueError("components or tables are missing")
     h, w = head["height"], head["width"]
     planes = []

@@ -31,6 +31,19 @@ def thresholds(top: int, near: int) -> tuple[int, int, int]:
     return tuple(out)
 
 
+def presets(bits: int, near: int, given: tuple[int, ...] = ()) -> tuple[int, int, int, int, int]:
+    """The largest sample, three thresholds and the reset interval; zeros, and values that aren't given, stand for the defaults."""
+    wanted = [*given, *[0] * (5 - len(given))]
+    top = wanted[0] or (1 << bits) - 1
+    if not 1 <= top < 1 << bits or not 0 <= near <= min(255, top // 2):
+        raise ValueError("largest sample or bound is out of range")
+    t = [a or b for a, b in zip(wanted[1:4], thresholds(top, near), strict=True)]
+    reset = wanted[4] or RESET
+    if not near + 1 <= t[0] <= t[1] <= t[2] <= top or not 3 <= reset <= max(255, top):
+        raise ValueError("preset parameters are out of range")
+    return top, *t, reset
+
+
 class Writer:
     """Bits of a scan; the byte after 0xFF carries seven."""
 
@@ -127,14 +140,14 @@ class Reader:
 class Model:
     """Contexts and prediction of one scan; `samples` are given to a writer and None to a reader."""
 
-    def __init__(self, coder, bits: int, near: int, lanes: int):
-        self.coder, self.near, self.top = coder, near, (1 << bits) - 1
+    def __init__(self, coder, bits: int, near: int, lanes: int, given: tuple[int, ...] = ()):
+        self.top, *self.t, self.reset = presets(bits, near, given)
+        self.coder, self.near = coder, near
         self.step = 2 * near + 1
         self.range = (self.top + 2 * near) // self.step + 1
         self.wide = (self.range - 1).bit_length()
-        deep = max(2, bits)
+        deep = max(2, self.top.bit_length())
         self.limit = 2 * (deep + max(8, deep))
-        self.t = thresholds(self.top, near)
         start = max(2, (self.range + 32) // 64)
         self.a, self.b, self.c, self.n = [start] * 367, [0] * 365, [0] * 365, [1] * 367
         self.negative = [0, 0]
@@ -185,7 +198,7 @@ class Model:
     def learn(self, q: int, e: int) -> None:
         self.a[q] += abs(e)
         b, n = self.b[q] + e * self.step, self.n[q]
-        if n == RESET:
+        if n == self.reset:
             self.a[q] >>= 1
             b >>= 1
             n >>= 1
@@ -214,7 +227,7 @@ class Model:
         e = -e if lower == bool(odd) else e
         self.negative[alike] += e < 0
         self.a[q] += code + 1 - alike >> 1
-        if self.n[q] == RESET:
+        if self.n[q] == self.reset:
             self.a[q] >>= 1
             self.n[q] >>= 1
             self.negative[alike] >>= 1
@@ -277,30 +290,35 @@ def scans(parts: int, layout: int) -> list[list[list[int]]]:
     return [[[i] for i in range(parts)]] if layout == 1 else [[list(range(parts))]]
 
 
-def encode(pixels: np.ndarray, bits: int = 8, near: int = 0, layout: str = "none") -> bytes:
-    """pixels: height x width x components."""
+def encode(pixels: np.ndarray, bits: int = 8, near: int = 0, layout: str = "none", given: tuple[int, ...] = (), spiff: bool = False) -> bytes:
+    """pixels: height x width x components. given: preset parameters (see presets), written where there are any; spiff: with that header."""
     height, width, n = pixels.shape
-    if not 2 <= bits <= 16 or not 0 <= near <= min(255, (1 << bits) // 2 - 1) or (pixels.size and int(pixels.max()) >> bits):
-        raise ValueError("samples or bound are out of range")
+    if not 2 <= bits <= 16 or (pixels.size and int(pixels.max()) > presets(bits, near, given)[0]):
+        raise ValueError("samples are out of range")
     ilv = LAYOUTS[layout] if n > 1 else 0
-    out = [segments.segment(segments.SOI, bare=True), segments.segment(segments.SOF_LS, segments.frame_bytes(bits, width, height, [(i + 1, 1, 1, 0) for i in range(n)]))]
+    out = [segments.segment(segments.SOI, bare=True)]
+    if spiff:
+        out += [segments.segment(segments.APP8, segments.spiff_bytes(width, height, n, bits)), segments.segment(segments.APP8, segments.SPIFF_END)]
+    out.append(segments.segment(segments.SOF_LS, segments.frame_bytes(bits, width, height, [(i + 1, 1, 1, 0) for i in range(n)])))
+    if given:
+        out.append(segments.segment(segments.LSE, segments.presets_bytes(presets(bits, near, given))))
     for scan in scans(n, ilv):
         ids = [i for g in scan for i in g]
         out.append(segments.segment(segments.SOS, bytes([len(ids), *(b for i in ids for b in (i + 1, 0)), near, ilv, 0])))
         writer = Writer()
-        Model(writer, bits, near, len(scan)).planes([[pixels[:, :, i].tolist() for i in g] for g in scan], width, height, False)
+        Model(writer, bits, near, len(scan), given).planes([[pixels[:, :, i].tolist() for i in g] for g in scan], width, height, False)
         out.append(writer.done())
     return b"".join([*out, segments.segment(segments.EOI, bare=True)])
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples (height x width x components) and bits a sample; preset parameters other than the defaults are refused."""
-    head, planes = None, {}
+    """Samples (height x width x components) and bits a sample. Mapping tables are passed over: samples stay as they are coded."""
+    head, planes, given = None, {}, ()
     for at, code, payload in segments.walk(data):
         if code == segments.SOF_LS:
             head = segments.frame(payload)
         elif code == segments.LSE:
-            raise ValueError("preset parameters are not supported")
+            given = segments.presets(payload) or given
         elif code == segments.SOS:
             if head is None or len(payload) < 4 or len(payload) < 4 + 2 * payload[0]:
                 raise ValueError("scan without a frame")
@@ -310,9 +328,19 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
                 raise ValueError("scan of unknown components")
             start = at + 4 + len(payload)
             groups = [ids] if ilv == 2 else [[i] for i in ids]
-            model = Model(Reader(data[start : segments.scan_end(data, start, True)]), head["bits"], near, len(groups))
+            model = Model(Reader(data[start : segments.scan_end(data, start, True)]), head["bits"], near, len(groups), given)
             got = model.planes(groups, head["width"], head["height"], True)
             planes |= {i: p for g, ps in zip(groups, got, strict=True) for i, p in zip(g, ps, strict=True)}
     if head is None or len(planes) != len(head["parts"]):
         raise ValueError("components are missing")
     return np.stack([np.array(planes[p[0]], np.uint16) for p in head["parts"]], axis=2), head["bits"]
+
+
+def golomb_table(k: int) -> list[tuple[int, int]]:
+    """For each byte: the value and length of the code of order k that it begins with, (0, 0) where that is longer than a byte."""
+    out = []
+    for byte in range(256):
+        q = 8 - byte.bit_length()
+        size = q + 1 + k
+        out.append((q << k | byte >> 8 - size & (1 << k) - 1, size) if size <= 8 else (0, 0))
+    return out

@@ -9,6 +9,7 @@ import struct
 from collections.abc import Iterator
 
 JP2_SIGNATURE = b"\x00\x00\x00\x0cjP  \r\n\x87\n"
+APP8, SPIFF_END = 0xE8, b"\0\0\0\1"
 SOI, EOI, SOS, DQT, DHT, DRI, SOF_LS, LSE = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xF7, 0xF8
 FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, SOF_LS)
 
@@ -89,6 +90,55 @@ def frame_bytes(bits: int, width: int, height: int, parts: list[tuple[int, int,
     return struct.pack(">BHHB", bits, height, width, len(parts)) + b"".join(bytes([i, h << 4 | v, t]) for i, h, v, t in parts)
 
 
+def presets(payload: bytes) -> tuple[int, ...]:
+    """The five preset parameters of a T.87 parameter segment; nothing where it holds mapping tables."""
+    if payload[:1] == b"\1":
+        if len(payload) < 11:
+            raise ValueError("preset parameters are cut short")
+        return struct.unpack(">5H", payload[1:11])
+    if payload[:1] in (b"\2", b"\3"):
+        return ()
+    raise ValueError("parameter segment is of an unknown kind")
+
+
+def presets_bytes(given: tuple[int, ...]) -> bytes:
+    return b"\1" + struct.pack(">5H", *given)
+
+
+#: Fields of a SPIFF header in order, and the components that a colour space needs (0: none may be said).
+SPIFF_FIELDS = ("profile", "components", "height", "width", "colour_space", "bits", "compression", "resolution_units", "vertical", "horizontal")
+SPIFF_COMPONENTS = {1: 3, 3: 3, 4: 3, 8: 1, 9: 3, 10: 3, 11: 3, 12: 4, 13: 3, 14: 4, 15: 4}
+SPIFF_LOSSLESS = 6
+
+
+def spiff(payload: bytes) -> dict | None:
+    """The fields of an APP8 segment, where it is a SPIFF header."""
+    if len(payload) < 30 or payload[:6] != b"SPIFF\0":
+        return None
+    return dict(zip(SPIFF_FIELDS, struct.unpack(">BBIIBBBBII", payload[8:30]), strict=True))
+
+
+def spiff_bytes(width: int, height: int, components: int, bits: int, compression: int = SPIFF_LOSSLESS) -> bytes:
+    space = {1: 8, 3: 10, 4: 12}.get(components, 2)
+    return b"SPIFF\0\2\0" + struct.pack(">BBIIBBBBII", 0, components, height, width, space, bits, compression, 1, 96, 96)
+
+
+def spiff_header(data: bytes) -> dict | None:
+    """The first SPIFF header before the first scan, with `valid`: it says T.87 coding, and `fits`: it agrees with the frame."""
+    found = None
+    for _, code, payload in walk(data):
+        if code == APP8 and found is None:
+            found = spiff(payload)
+        elif code in FRAMES and found:
+            own = frame(payload)
+            same = (found["components"], found["height"], found["width"], found["bits"]) == (len(own["parts"]), own["height"], own["width"], own["bits"])
+            space = found["colour_space"] == 2 or SPIFF_COMPONENTS.get(found["colour_space"]) == found["components"]
+            return found | {"valid": found["compression"] == SPIFF_LOSSLESS, "fits": same and space and found["resolution_units"] < 3 and min(found["vertical"], found["horizontal"]) > 0}
+        elif code == SOS:
+            break
+    return None
+
+
 def kind(data: bytes) -> str:
     """jpegls, jpeg, jp2, j2k or unknown, by the first bytes and, after a start of image, by the frame's marker."""
     if data.startswith(JP2_SIGNATURE):
@@ -179,6 +229,9 @@ def wavelet_header(data: bytes) -> dict:
         elif code == 0x5C:
             out |= {"quantisation": body[0] & 31, "guard_bits": body[0] >> 5}
             out["steps"] = [b >> 3 for b in body[1:]] if not body[0] & 31 else [int.from_bytes(body[i : i + 2], "big") for i in range(1, len(body) - 1, 2)]
+        elif code == 0x5E:
+            wide = 2 if out.get("components", 1) > 256 else 1
+            out.setdefault("shifts", {})[int.from_bytes(body[:wide], "big")] = body[wide + 1]
         elif code == 0x50:
             out["high_throughput"] = bool(int.from_bytes(body[:4], "big") & 1 << 14 or int.from_bytes(body[:4], "big") & 1 << 17)
         at += 2 + size
@@ -187,6 +240,48 @@ def wavelet_header(data: bytes) -> dict:
     return out
 
 
+def tile_parts(data: bytes) -> list[tuple[int, int, int, int, int, int]]:
+    """place, tile, number, how many the tile has (0: unknown), size and place of the packets of each tile part."""
+    data = codestream(data)
+    wavelet_header(data)
+    at, out = data.find(b"\xff\x90"), []
+    while data[at : at + 2] == b"\xff\x90" and at >= 0:
+        if at + 12 > len(data):
+            raise ValueError("tile part is cut short")
+        tile, size, part, many = struct.unpack(">HIBB", data[at + 4 : at + 12])
+        body = at + 12
+        while data[body : body + 2] != b"\xff\x93":
+            if body + 4 > len(data) or data[body] != 0xFF:
+                raise ValueError("tile part is cut short")
+            body += 2 + int.from_bytes(data[body + 2 : body + 4], "big")
+        end = at + size if size else len(data) - 2
+        if end > len(data) or end < body + 2:
+            raise ValueError("tile part is cut short")
+        out.append((at, tile, part, many, end - at, body + 2))
+        at = end
+    return out
+
+
+def codestream_markers(data: bytes) -> list[tuple[int, str, int]]:
+    """place, name and payload size of each marker of a wavelet codestream; packets are passed over by the tile parts' sizes."""
+    data = codestream(data)
+    ends = {body: at + size for at, _, _, _, size, body in tile_parts(data)}
+    at, out = 0, []
+    while at + 2 <= len(data):
+        code = data[at + 1]
+        if data[at] != 0xFF:
+            raise ValueError(f"no marker at {at}")
+        bare = code in (0x4F, 0x93, 0xD9)
+        size = 0 if bare else int.from_bytes(data[at + 2 : at + 4], "big") - 2
+        out.append((at, WAVELET_NAMES.get(code, f"0x{code:02X}"), size))
+        if code == 0xD9:
+            break
+        at += 2 if bare else size + 4
+        if code == 0x93:
+            at = ends[at]
+    return out
+
+
 def wavelet_header_bytes(width: int, height: int, components: int, bits: int, levels: int, reversible: bool, tile: int = 0) -> bytes:
     """The main header of a codestream without tile parts, and its end."""
     side = (tile or width, tile or height)
