@@ -11,7 +11,8 @@ from collections.abc import Iterator
 JP2_SIGNATURE = b"\x00\x00\x00\x0cjP  \r\n\x87\n"
 APP8, SPIFF_END = 0xE8, b"\0\0\0\1"
 SOI, EOI, SOS, DQT, DHT, DRI, SOF_LS, LSE = 0xD8, 0xD9, 0xDA, 0xDB, 0xC4, 0xDD, 0xF7, 0xF8
-FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, SOF_LS)
+#: All frame headers: also of kinds that are not decoded, as their geometry is the same.
+FRAMES = (*(c for c in range(0xC0, 0xD0) if c not in (0xC4, 0xC8, 0xCC)), SOF_LS)
 
 #: Names of the markers that are not one of a numbered family.
 NAMES = {

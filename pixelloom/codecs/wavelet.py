@@ -397,7 +397,7 @@ def tile_parts(data: bytes) -> tuple[Head, list[tuple[int, int, int, Head | None
         if code == SOT:
             break
         if code == EOC:
-            return main, parts
+            break
         main.take(code, body)
         at = after
     if not main.size:
@@ -483,23 +483,43 @@ def _planes(tile: Tile) -> list[np.ndarray]:
     return [p if bits & 128 else p + (1 << (bits & 127)) for p, (bits, _, _) in zip(out, tile.head.parts, strict=True)]
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples (height x width x components) and bits a sample; subsampled components are repeated."""
+def _tiles(data: bytes) -> tuple[Head, list[Tile]]:
+    """The main header and the tiles, with what their packets say of code-blocks."""
     main, parts = tile_parts(data)
-    x1, y1, x0, y0 = main.size[:4]
-    if any(b != main.parts[0][0] or b & 128 or b > 15 for b, _, _ in main.parts):
-        raise ValueError("components of one depth, without sign, of at most 16 bits are needed")
-    bits = main.parts[0][0] + 1
-    whole = [np.zeros((up(y1, v) - up(y0, v), up(x1, h) - up(x0, h)), np.int64) for _, h, v in main.parts]
     bodies: dict[int, tuple[Head, bytes]] = {}
     for tile, _, _, head, body in parts:
         bodies[tile] = head, bodies.get(tile, (head, b""))[1] + body
-    if len(bodies) != up(x1 - main.size[6], main.size[4]) * up(y1 - main.size[7], main.size[5]):
+    if len(bodies) != up(main.size[0] - main.size[6], main.size[4]) * up(main.size[1] - main.size[7], main.size[5]):
         raise ValueError("tiles are missing")
-    for number, (head, body) in bodies.items():
+    tiles = []
+    for number, (head, body) in sorted(bodies.items()):
         tile, at = Tile(head, number), 0
         for layer, precinct in tile.packets():
             at = read_packet(body, at, layer, precinct, head.markers)
+        tiles.append(tile)
+    return main, tiles
+
+
+def code_blocks(data: bytes) -> list[tuple]:
+    """tile, component, resolution, band, y, x, height, width, passes and bytes of each code-block."""
+    out = []
+    for tile in _tiles(data)[1]:
+        for c, own in enumerate(tile.resolutions):
+            for r, (_, precincts) in enumerate(own):
+                for p in (p for precinct in precincts for _, _, pieces in precinct.groups for p in pieces):
+                    out.append((tile.number, c, r, ("LL", "HL", "LH", "HH")[p.band.kind], p.y0, p.x0, p.y1 - p.y0, p.x1 - p.x0, p.passes, len(p.data)))
+    return out
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples (height x width x components) and bits a sample; subsampled components are repeated."""
+    main, tiles = _tiles(data)
+    x1, y1, x0, y0 = main.size[:4]
+    if any(b != main.parts[0][0] or b & 128 or b > 15 for b, _, _ in main.parts):
+        raise ValueError("components of one depth, without sign, of at most 16 bits are needed")
+    bits = main.parts[0][0] + 1
+    whole = [np.zeros((up(y1, v) - up(y0, v), up(x1, h) - up(x0, h)), np.int64) for _, h, v in main.parts]
+    for tile in tiles:
         for c, plane in enumerate(_planes(tile)):
             cx0, cy0, cx1, cy1 = tile.area(c)
             dx, dy = up(x0, main.parts[c][1]), up(y0, main.parts[c][2])

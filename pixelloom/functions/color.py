@@ -22,9 +22,11 @@ def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Colum
     return tuple(clamp(x, 0, 255).cast("int") for x in out)
 
 
-def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, truncate: bool = False) -> tuple[Column, Column, Column]:
+    """truncate: towards zero after clamping, as some decoders do, instead of to the nearest."""
     u, v = cb - 128, cr - 128
-    out = [rounded(y + u * a + v * b) for a, b in YCBCR_TO_RGB]
+    exact = [y + u * a + v * b for a, b in YCBCR_TO_RGB]
+    out = [F.floor(clamp(e, 0, 255)) if truncate else rounded(e) for e in exact]
     return tuple(clamp(x, 0, 255).cast("int") for x in out)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions import color
+
 from . import signals
 
 #: The four lifting steps of the irreversible 9/7 transform (odd, even, odd, even places) and its scale.
@@ -44,16 +46,61 @@ def unlifted_97(waves: DataFrame, key: str, at: str) -> DataFrame:
     return out
 
 
-def plane_53(raster: DataFrame) -> DataFrame:
-    """One level of the 5/3 transform of raster(name, y, x, v): columns, then rows. Both sides are two or more."""
-    column = F.concat_ws("\x01", "name", F.col("x").cast("string")).alias("_k")
-    tall = signals.lifted_53(raster.select(column, "y", F.col("v").cast("long").alias("v")), "_k", "y", "v")
+def _lines(raster: DataFrame, across: str, along: str, lift) -> DataFrame:
+    """raster(name, y, x, v) after lift(signal, key, at) of each line (or column) `across`; lift's result is named v."""
+    key = F.concat_ws("\x01", "name", F.col(across).cast("string")).alias("_k")
+    out = lift(raster.select(key, along, "v"), "_k", along)
     split = F.split("_k", "\x01")
-    wide = tall.select(split[0].alias("name"), "y", split[1].cast("int").alias("x"), F.col("w").alias("v"))
-    line = F.concat_ws("\x01", "name", F.col("y").cast("string")).alias("_k")
-    out = signals.lifted_53(wide.select(line, "x", "v"), "_k", "x", "v")
+    return out.select(split[0].alias("name"), split[1].cast("int").alias(across), along, "v").select("name", "y", "x", "v")
+
+
+def _forward(reversible: bool):
+    if reversible:
+        return lambda s, k, at: signals.lifted_53(s.withColumn("v", F.col("v").cast("long")), k, at, "v").select(k, at, F.col("w").alias("v"))
+    return lambda s, k, at: lifted_97(s, k, at, "v").select(k, at, F.col("w").alias("v"))
+
+
+def _inverse(reversible: bool):
+    undo = signals.unlifted_53 if reversible else unlifted_97
+    return lambda s, k, at: undo(s.withColumnRenamed("v", "w"), k, at).select(k, at, F.col("back").alias("v"))
+
+
+def plane(raster: DataFrame, reversible: bool = True) -> DataFrame:
+    """One level of the 5/3 or 9/7 transform of raster(name, y, x, v): columns, then rows; w and band of each place."""
+    out = _lines(_lines(raster, "x", "y", _forward(reversible)), "y", "x", _forward(reversible))
     band = F.when(F.col("x") % 2 == 0, F.when(F.col("y") % 2 == 0, "LL").otherwise("LH")).otherwise(F.when(F.col("y") % 2 == 0, "HL").otherwise("HH"))
-    return out.select(split[0].alias("name"), split[1].cast("int").alias("y"), "x", "w").withColumn("band", band)
+    return out.select("name", "y", "x", F.col("v").alias("w"), band.alias("band"))
+
+
+def plane_53(raster: DataFrame) -> DataFrame:
+    return plane(raster, True)
+
+
+def unplane(waves: DataFrame, reversible: bool = True) -> DataFrame:
+    """The inverse of plane, as raster(name, y, x, v): rows, then columns."""
+    return _lines(_lines(waves.select("name", "y", "x", F.col("w").alias("v")), "y", "x", _inverse(reversible)), "x", "y", _inverse(reversible))
+
+
+def pyramid(raster: DataFrame, levels: int, reversible: bool = True) -> DataFrame:
+    """name, level (1 is the finest), band, y, x (places in the band) and w: each level splits the LL band of the one before it."""
+    out, low = None, raster.select("name", "y", "x", "v")
+    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    for level in range(1, levels + 1):
+        one = plane(low, reversible).select("name", F.lit(level).alias("level"), "band", half("y"), half("x"), "w")
+        part = one if level == levels else one.where("band <> 'LL'")
+        out = part if out is None else out.unionByName(part)
+        low = one.where("band = 'LL'").select("name", "y", "x", F.col("w").alias("v"))
+    return out
+
+
+def unpyramid(bands: DataFrame, levels: int, reversible: bool = True) -> DataFrame:
+    """The inverse of pyramid, as raster(name, y, x, v)."""
+    low = bands.where((F.col("level") == levels) & (F.col("band") == "LL")).select("name", "y", "x", F.col("w").alias("v"))
+    for level in range(levels, 0, -1):
+        odd = lambda c, names: (F.col(c) * 2 + F.col("band").isin(names).cast("int")).alias(c)
+        rest = bands.where((F.col("level") == level) & (F.col("band") != "LL")).select("name", odd("y", ["LH", "HH"]), odd("x", ["HL", "HH"]), "w")
+        low = unplane(rest.unionByName(low.select("name", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x"), F.col("v").alias("w"))), reversible)
+    return low
 
 
 def around(raster: DataFrame, col: str) -> DataFrame:
@@ -89,6 +136,22 @@ def step_code(step: Column, depth: int) -> tuple[Column, Column]:
     return (depth - log).cast("int"), F.floor((step / F.pow(F.lit(2.0), log) - 1) * 2048).cast("int")
 
 
+def step_of(exponent: Column, mantissa: Column, depth) -> Column:
+    """The step size that an exponent and a mantissa stand for in a band of `depth` bits."""
+    return F.pow(F.lit(2.0), depth - exponent) * (1 + mantissa / 2048)
+
+
+def derived_exponent(first: Column, levels: Column, level: Column) -> Column:
+    """The exponent of a band at a decomposition level (the coarsest is `levels`), where only the first band's is said."""
+    return (first - (levels - level)).cast("int")
+
+
+def finalised(value: Column, bits: Column) -> Column:
+    """Reconstructed values of `bits` bits, still around 0, as samples of 8 bits."""
+    shifted = value + F.pow(F.lit(2.0), bits - 1)
+    return color.clamp(F.floor(shifted / F.pow(F.lit(2.0), F.greatest(F.lit(0), bits - 8)) + 0.5), 0, 255).cast("int")
+
+
 def upsampled(plane: DataFrame, width: int, height: int, across: int, down: int) -> DataFrame:
     """plane(y, x, v) at the size of the image by its nearest sample: across and down are the factors."""
     grid = plane.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))

@@ -1,12 +1,15 @@
 """Operators on tables of 8x8 blocks (one row for each, its 64 samples in an array): transforms, quantisation, scans.
 
-All are expressions over the array of a row or explode it; nothing is shuffled but for aggregates.
+All are expressions over the array of a row or explode it, but for the transform, a matrix product of Arrow batches;
+nothing is shuffled but for aggregates.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +21,45 @@ def basis(u: int, x: int) -> float:
 
 
 def coefficients(df: DataFrame, id: str, block: str, inverse: bool = False) -> DataFrame:
-    """id, pos (row-major) and coef of each block: each block meets the 64 rows of the constant matrix."""
-    at = lambda u, x: basis(x, u) if inverse else basis(u, x)
-    places = [(i // 8, i % 8) for i in range(64)]
-    rows = [(v * 8 + u, [at(v, y) * at(u, x) for y, x in places]) for v, u in places]
-    matrix = df.sparkSession.createDataFrame(rows, "pos int, _row array<double>")
-    met = df.select(id, F.col(block).alias("_block")).crossJoin(F.broadcast(matrix))
-    return met.select(id, "pos", F.aggregate(F.zip_with("_block", "_row", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z).alias("coef"))
+    """id, pos (row-major) and coef of each block: a batch of blocks is one product with the constant matrix; null blocks have none."""
+    line = np.array([[basis(u, x) for x in range(8)] for u in range(8)])
+    whole = np.kron(line, line)  # rows: places of coefficients, columns: places of samples
+    matrix = whole if inverse else whole.T
+
+    @F.pandas_udf("array<double>")
+    def product(blocks: pd.Series) -> pd.Series:
+        out = np.empty(len(blocks), object)
+        some = np.flatnonzero(blocks.notna())
+        if len(some):
+            for k, row in zip(some, np.stack(blocks.iloc[some].to_numpy()) @ matrix, strict=True):
+                out[k] = row
+        return pd.Series(out)
+
+    return df.select(id, F.posexplode(product(F.col(block).cast("array<double>"))).alias("pos", "coef"))
+
+
+def fixed_point_inverse(df: DataFrame, id: str, block: str) -> DataFrame:
+    """id, pos and v of each block of coefficients, in whole numbers: twelve bits of cosine, eight of input, each product shifted down; a batch of blocks at once."""
+    angle = np.float32(np.pi) * np.arange(8, dtype=np.float32)[None, :] * (2 * np.arange(8, dtype=np.float32)[:, None] + 1) / np.float32(16)
+    cosine = (np.cos(angle) * np.float32(4096)).astype(np.int64)  # place by frequency
+    scale = np.where(np.arange(8) == 0, 2896, 4096)
+
+    def one_pass(values: np.ndarray) -> np.ndarray:
+        """Along the last axis."""
+        return ((values * scale >> 12)[..., None, :] * cosine >> 12).sum(-1)
+
+    @F.pandas_udf("array<double>")
+    def samples(blocks: pd.Series) -> pd.Series:
+        out = np.empty(len(blocks), object)
+        some = np.flatnonzero(blocks.notna())
+        if len(some):
+            given = np.trunc(np.stack(blocks.iloc[some].to_numpy()) * 256).astype(np.int64).reshape(-1, 8, 8)
+            whole = one_pass(one_pass(given).swapaxes(1, 2)).swapaxes(1, 2).reshape(-1, 64) / 1024
+            for k, row in zip(some, whole, strict=True):
+                out[k] = row
+        return pd.Series(out)
+
+    return df.select(id, F.posexplode(samples(F.col(block).cast("array<double>"))).alias("pos", "v"))
 
 
 def quantised(coef: DataFrame, table: list[int], value: str = "coef") -> DataFrame:
@@ -46,3 +81,11 @@ def zero_runs(scan: DataFrame, id: str) -> DataFrame:
     last = F.lag("k", 1, 0).over(Window.partitionBy(id).orderBy("k"))
     some = scan.where("k > 0 AND level <> 0")
     return some.select(id, "k", "level", (F.col("k") - last - 1).alias("run"), color.category(F.col("level")).alias("ssss"))
+
+
+def run_symbols(scan: DataFrame, id: str) -> DataFrame:
+    """The coded symbols of each block's places after the first: zrl (runs of 16 zeros before it) and symbol (rest of the run, magnitude's bits); symbol 0 with k 64 ends a block whose last place is 0."""
+    some = zero_runs(scan, id)
+    coded = some.select(id, "k", F.floor(F.col("run") / 16).cast("int").alias("zrl"), (F.col("run") % 16 * 16 + F.col("ssss")).cast("int").alias("symbol"))
+    last = scan.where("k = 63 AND level = 0").select(id, F.lit(64).alias("k"), F.lit(0).alias("zrl"), F.lit(0).alias("symbol"))
+    return coded.unionByName(last)

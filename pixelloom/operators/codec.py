@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.codecs import jpeg, jpegls, segments
+from pixelloom.codecs import jpeg, jpegls, lossless, segments, wavelet
 from pixelloom.sources import streams
 
 IMAGE = "pixels binary, width long, height long, components long, bits long, error string"
@@ -34,6 +34,8 @@ def decode_one(data: bytes) -> tuple[np.ndarray, int]:
         return jpegls.decode(data)
     if found == "jpeg":
         return jpeg.decode(data)
+    if found in ("jp2", "j2k"):
+        return wavelet.decode(data)
     raise ValueError(f"{found} can't be decoded")
 
 
@@ -44,6 +46,10 @@ def encode_one(samples: np.ndarray, bits: int, codec: str, **options) -> bytes:
         if bits != 8:
             raise ValueError("samples of 8 bits are needed")
         return jpeg.encode(samples.astype(np.uint8), **options)
+    if codec == "jpeg_lossless":
+        return lossless.encode(samples, bits, **options)
+    if codec in ("j2k", "jp2"):
+        return wavelet.encode(samples, bits, boxed=codec == "jp2", **options)
     raise ValueError(f"unknown codec {codec}")
 
 
@@ -52,7 +58,10 @@ def _schema(kept: DataFrame, more: str) -> str:
 
 
 def encode(images: DataFrame, codec: str, **options) -> DataFrame:
-    """images with content and error added. Options: quality, restart, planar (jpeg); near, layout (jpegls)."""
+    """images with content and error added. Options: quality, restart, planar, progressive (jpeg); predictor, shift, restart_lines (jpeg_lossless);
+
+    near, layout, given, spiff (jpegls); levels, reversible, step, tile, progression, block, precinct (j2k and jp2).
+    """
     kept = images.drop("content", "error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,19 +115,38 @@ def report(decoded: DataFrame, key: str) -> DataFrame:
     return decoded.select(key, F.when(F.col("error").isNull(), "OK").otherwise("ERROR").alias("status"), "error")
 
 
+def success_rates(reported: DataFrame, by: str) -> DataFrame:
+    """For each value of `by`: files, how many were decoded, and their share."""
+    ok = F.count(F.when(F.col("status") == "OK", 1))
+    return reported.groupBy(by).agg(F.count("*").alias("n"), ok.alias("n_ok"), (ok / F.count("*")).alias("rate"))
+
+
+def status_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Two reports side by side, also of files that only one has: key, status_a, status_b and whether they agree."""
+    one, other = (r.select(key, F.col("status").alias(f"status_{k}")) for k, r in (("a", a), ("b", b)))
+    return one.join(other, key, "full").withColumn("agree", F.col("status_a").eqNullSafe(F.col("status_b")))
+
+
+def sizes(coded: DataFrame) -> DataFrame:
+    """Images with their content, and raw_bytes, coded_bytes and ratio."""
+    raw = F.col("width") * F.col("height") * F.col("components") * F.when(F.col("bits") > 8, 2).otherwise(1)
+    return coded.withColumn("raw_bytes", raw.cast("long")).withColumn("coded_bytes", F.length("content").cast("long")).withColumn("ratio", F.col("raw_bytes") / F.col("coded_bytes"))
+
+
 def samples(images: DataFrame, key: str) -> DataFrame:
-    """One row a sample: key, comp, y, x, v; images without pixels have none."""
-    wide = F.when(F.col("bits") > 8, 2).otherwise(1).cast("long")
-    n = F.length("pixels") / wide
-    one = images.where("pixels IS NOT NULL AND length(pixels) > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).alias("_i"))
-    at = (F.col("_i") * wide + 1).cast("int")
-    low = F.conv(F.hex(F.substring(F.col("pixels"), at, F.lit(1))), 16, 10).cast("int")
-    high = F.when(F.col("bits") > 8, F.conv(F.hex(F.substring(F.col("pixels"), at + 1, F.lit(1))), 16, 10).cast("int") * 256).otherwise(0)
-    place = F.floor(F.col("_i") / F.col("components"))
-    return one.select(
-        key, (F.col("_i") % F.col("components")).cast("int").alias("comp"), F.floor(place / F.col("width")).cast("int").alias("y"),
-        (place % F.col("width")).cast("int").alias("x"), (low + high).cast("int").alias("v"),
-    )
+    """One row a sample: key, comp, y, x, v; images without pixels have none. An image is laid out at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, p, w, h, n, bits in pdf.itertuples(index=False, name=None):
+                if p is None or not len(p):
+                    continue
+                v = array_of(p, w, h, n, bits)
+                y, x, c = np.indices(v.shape)
+                yield pd.DataFrame({key: [k] * v.size, "comp": c.ravel().astype(np.int32), "y": y.ravel().astype(np.int32), "x": x.ravel().astype(np.int32), "v": v.ravel().astype(np.int32)})
+
+    own = images.select(key, "pixels", "width", "height", "components", "bits")
+    return own.mapInPandas(run, f"`{key}` {images.schema[key].dataType.simpleString()}, comp int, y int, x int, v int")
 
 
 def images(raster: DataFrame, bits: int = 8) -> DataFrame:

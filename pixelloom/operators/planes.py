@@ -5,11 +5,17 @@ Windows are partitioned by image and line or by restart group; a task never hold
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color
 
+from . import signals
+
 
 def dead_zone(value: Column, step: float) -> tuple[Column, Column]:
     """The level of a coefficient (towards zero) and its reconstruction in the middle of the interval."""
@@ -25,17 +31,24 @@ def gradient_class(g: Column, near: int, t: tuple[int, int, int]) -> Column:
 
 
 def contexts(raster: DataFrame, near: int = 0, t: tuple[int, int, int] = (3, 7, 21)) -> DataFrame:
-    """raster(name, y, x, v) with the context number (0 to 364) of each sample.
+    """raster(name, y, x, v) with its neighbours and the context number (0 to 364) of each sample."""
+    q = [gradient_class(g, near, t) for g in (F.col("d") - F.col("b"), F.col("b") - F.col("c"), F.col("c") - F.col("a"))]
+    return signals.neighbours(raster).withColumn("context", F.abs((q[0] * 9 + q[1]) * 9 + q[2]))
+
+
+def run_modes(raster: DataFrame) -> DataFrame:
+    """The mode that lossless coding (T.87) is in at each sample: run, interruption (the sample that ends a run) or regular.
 
-    Above the image are zeros; left of a line stands the sample above, right of it the last one of the line above.
+    A run begins where all gradients are zero and goes on while samples equal their left neighbour. So in a stretch of
+    such samples all from the first flat place on are in the run; stretches are numbered by the samples that break them.
     """
-    row, column = Window.partitionBy("name", "y").orderBy("x"), Window.partitionBy("name", "x").orderBy("y")
-    up = raster.withColumn("b", F.lag("v", 1, 0).over(column)).withColumn("_bb", F.lag("v", 2, 0).over(column))
-    a, d = F.coalesce(F.lag("v").over(row), F.col("b")), F.coalesce(F.lead("b").over(row), F.col("b"))
-    c = F.coalesce(F.lag("b").over(row), F.col("_bb"))
-    q = [gradient_class(g, near, t) for g in (F.col("d") - F.col("b"), F.col("b") - F.col("c"), F.col("c") - F.col("a"))]
-    near_by = up.withColumn("a", a).withColumn("c", c).withColumn("d", d)
-    return near_by.withColumn("context", F.abs((q[0] * 9 + q[1]) * 9 + q[2])).drop("_bb")
+    row = Window.partitionBy("name", "y").orderBy("x")
+    one = contexts(raster).withColumn("_flat", F.col("context") == 0).withColumn("_same", F.col("v") == F.col("a"))
+    one = one.withColumn("_stretch", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(row))
+    begun = F.max(F.when(F.col("_same") & F.col("_flat"), 1).otherwise(0)).over(Window.partitionBy("name", "y", "_stretch").orderBy("x"))
+    one = one.withColumn("_run", F.col("_same") & (begun == 1))
+    ends = ~F.col("_same") & (F.col("_flat") | F.coalesce(F.lag("_run").over(row), F.lit(False)))
+    return one.select("name", "y", "x", F.when(F.col("_run"), "run").when(ends, "interruption").otherwise("regular").alias("mode"))
 
 
 def segments(raster: DataFrame) -> DataFrame:
@@ -102,9 +115,37 @@ def first_difference(pairs: DataFrame, key: str, at: Column, got: str, expected:
 
 
 def byte_counts(df: DataFrame, text: str) -> DataFrame:
-    """How often each byte stands in the texts, in UTF-8."""
-    each = df.select(F.explode(F.regexp_extract_all(F.hex(text), F.lit("(..)"))).alias("byte"))
-    return each.groupBy("byte").agg(F.count("*").alias("n"))
+    """How often each byte (two hexadecimal digits) stands in the texts, in UTF-8: at most 256 numbers leave a task."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(256, np.int64)
+        for pdf in batches:
+            for t in pdf[text].dropna():
+                total += np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"byte": [f"{b:02X}" for b in some], "n": total[some]})
+
+    return df.select(text).mapInPandas(counted, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def stuffed(data: Column) -> Column:
+    """The bytes that a coded scan grows by: one after each 0xFF."""
+    return F.size(F.filter(F.regexp_extract_all(F.hex(data), F.lit("(..)")), lambda b: b == "FF"))
+
+
+def refinement_context(refined: Column, around: Column) -> Column:
+    """The context of a sample that is significant already: 16 after its first refinement, before it by its neighbours."""
+    return F.when(refined, 16).when(around > 0, 15).otherwise(14)
+
+
+def quad_contexts(raster: DataFrame, col: str) -> DataFrame:
+    """name, qy, qx, rho (which of a quad's 2 x 2 samples have col other than 0) and context: whether a quad to the left or above is hit."""
+    bit = F.pow(F.lit(2), F.col("x") % 2 + F.col("y") % 2 * 2).cast("int")
+    quads = raster.groupBy("name", F.floor(F.col("y") / 2).alias("qy"), F.floor(F.col("x") / 2).alias("qx")).agg(F.sum(F.when(F.col(col) != 0, bit).otherwise(0)).cast("int").alias("rho"))
+    row, column = Window.partitionBy("name", "qy").orderBy("qx"), Window.partitionBy("name", "qx").orderBy("qy")
+    up = quads.withColumn("_u", F.lag("rho", 1, 0).over(column))
+    seen = F.lag("rho", 1, 0).over(row) + F.col("_u") + F.lag("_u", 1, 0).over(row) + F.lead("_u", 1, 0).over(row)
+    return up.withColumn("context", (seen > 0).cast("int")).drop("_u")
 
 
 def graymap(raster: DataFrame) -> DataFrame:
@@ -112,3 +153,11 @@ def graymap(raster: DataFrame) -> DataFrame:
     image = raster.groupBy("name").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
     body = F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["v"].cast("long")), 2, "0")), ""))
     return image.select("name", F.concat(F.encode(F.format_string("P5\n%d %d\n255\n", "w", "h"), "US-ASCII"), body).alias("file"))
+
+
+def pixmap(raster: DataFrame) -> DataFrame:
+    """name and the binary portable pixmap of each image of raster(name, y, x, r, g, b)."""
+    image = raster.groupBy("name").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    body = F.unhex(F.array_join(F.transform("p", lambda s: F.concat(byte(s["r"]), byte(s["g"]), byte(s["b"]))), ""))
+    return image.select("name", F.concat(F.encode(F.format_string("P6\n%d %d\n255\n", "w", "h"), "US-ASCII"), body).alias("file"))

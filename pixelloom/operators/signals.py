@@ -12,10 +12,24 @@ from pixelloom.functions import color
 
 
 def neighbours(raster: DataFrame) -> DataFrame:
-    """raster(name, y, x, v) with a (left), b (above), c (upper left); outside the image they are 0."""
+    """raster(name, y, x, v) with a (left), b (above), c (upper left) and d (upper right) by the rules of T.87.
+
+    Above the image are zeros; left of a line stands the sample above, right of it the last one of the line above.
+    """
+    row, column = Window.partitionBy("name", "y").orderBy("x"), Window.partitionBy("name", "x").orderBy("y")
+    up = raster.withColumn("b", F.lag("v", 1, 0).over(column)).withColumn("_bb", F.lag("v", 2, 0).over(column))
+    a, d = F.coalesce(F.lag("v").over(row), F.col("b")), F.coalesce(F.lead("b").over(row), F.col("b"))
+    c = F.coalesce(F.lag("b").over(row), F.col("_bb"))
+    return up.withColumn("a", a).withColumn("c", c).withColumn("d", d).drop("_bb")
+
+
+def predicted(raster: DataFrame, middle: int) -> DataFrame:
+    """raster with p0 to p7, the predictions of T.81's lossless coding: the first line from the left, the first column from above, the first sample `middle`."""
     row, column = Window.partitionBy("name", "y").orderBy("x"), Window.partitionBy("name", "x").orderBy("y")
-    up = raster.withColumn("b", F.lag("v", 1, 0).over(column))
-    return up.withColumn("a", F.lag("v", 1, 0).over(row)).withColumn("c", F.lag("b", 1, 0).over(row))
+    up = raster.withColumn("_b", F.lag("v").over(column)).withColumn("_a", F.lag("v").over(row)).withColumn("_c", F.lag("_b").over(row))
+    edge = F.when(F.col("_a").isNull() & F.col("_b").isNull(), middle).when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b"))
+    inner = {0: F.lit(0)} | color.predictors(F.col("_a"), F.col("_b"), F.col("_c"))
+    return up.select(*raster.columns, *(F.coalesce(edge, p).alias(f"p{k}") for k, p in inner.items()))
 
 
 def residuals(raster: DataFrame) -> DataFrame:
@@ -47,10 +61,10 @@ def unlifted_53(waves: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def compared(pairs: DataFrame, key: str, x: str, y: str, top: int) -> DataFrame:
-    """Mean absolute error, largest difference, mean square error and signal to noise of two versions of each image."""
+    """Mean absolute error, largest difference, mean square error and signal to noise (infinite where they are equal) of two versions of each image."""
     d = F.col(x) - F.col(y)
     out = pairs.groupBy(key).agg(F.avg(F.abs(d)).alias("mae"), F.max(F.abs(d)).alias("max_diff"), F.avg(d * d).alias("mse"))
-    return out.withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(F.lit(float(top * top)) / F.col("mse")))).withColumn("lossless", F.col("max_diff") == 0)
+    return out.withColumn("psnr", F.when(F.col("mse") > 0, 10 * F.log10(F.lit(float(top * top)) / F.col("mse"))).when(F.col("mse") == 0, float("inf"))).withColumn("lossless", F.col("max_diff") == 0)
 
 
 def gradient(spark, name: str, width: int, height: int, top: int = 255) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import color, fixed
 from pixelloom.operators import blocks, signals
 
-from . import images, more, planes
+from . import formats, images, more, planes
 
 QUALITIES = (10, 50, 90)
 
@@ -106,9 +106,8 @@ def med_predictor_residuals(spark, sf_dir):
 
 
 def lossless_predictors_1_7(spark, sf_dir):
-    near = signals.neighbours(_raster(spark))
-    p = color.predictors(F.col("a"), F.col("b"), F.col("c"))
-    return near.groupBy("name").agg(*(F.sum(F.abs(F.col("v") - c)).alias(f"error{k}") for k, c in p.items()))
+    guessed = signals.predicted(_raster(spark), 128)
+    return guessed.groupBy("name").agg(*(F.sum(F.abs(F.col("v") - F.col(f"p{k}"))).cast("long").alias(f"error{k}") for k in range(8)))
 
 
 def dwt53_forward(spark, sf_dir):
@@ -136,7 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dct8x8_coeffs, dct8x8_energy, idct_roundtrip_error, quantize_q50, zigzag_scan, ac_zero_runs, ssss_histogram, quality_scaled_tables, rgb_to_ycbcr,
         ycbcr_to_rgb, rct_roundtrip, med_predictor_residuals, lossless_predictors_1_7, dwt53_forward, dwt53_roundtrip, image_quality_metrics, gradient_fixture,
     )
-} | planes.build(_levels, _raster, _rgb) | more.build(_blocks, _levels, _raster, _rgb, _signal) | images.QUERIES
+} | planes.build(_levels, _raster, _rgb) | more.build(_blocks, _levels, _raster, _rgb, _signal) | images.QUERIES | formats.build(_blocks, _levels, _raster, _rgb, _signal)
 
 FLAGSHIP = dct8x8_energy
 
@@ -154,14 +153,16 @@ _PX = "SELECT range AS id, range * 37 % 256 AS r, range * 91 % 256 AS g, range *
 _IMG = """img AS (
   SELECT 'ramp' AS name, (range // 32)::INT AS y, (range % 32)::INT AS x, (range * 255 // 767)::INT AS v FROM range(768)
   UNION ALL SELECT 'rough', (range // 32)::INT, (range % 32)::INT, ((range * range * 7 + range * 13) % 256)::INT FROM range(768)),
-near AS (SELECT i.*, coalesce(l.v, 0) AS a, coalesce(u.v, 0) AS b, coalesce(d.v, 0) AS c FROM img i
+side AS (SELECT i.*, l.v AS l, u.v AS u, d.v AS d, t.v AS t FROM img i
   LEFT JOIN img l ON l.name = i.name AND l.y = i.y AND l.x = i.x - 1 LEFT JOIN img u ON u.name = i.name AND u.y = i.y - 1 AND u.x = i.x
-  LEFT JOIN img d ON d.name = i.name AND d.y = i.y - 1 AND d.x = i.x - 1)"""
+  LEFT JOIN img d ON d.name = i.name AND d.y = i.y - 1 AND d.x = i.x - 1 LEFT JOIN img t ON t.name = i.name AND t.y = i.y - 2 AND t.x = i.x),
+near AS (SELECT name, y, x, v, coalesce(CASE WHEN x = 0 THEN u ELSE l END, 0) AS a, coalesce(u, 0) AS b, coalesce(CASE WHEN x = 0 THEN t ELSE d END, 0) AS c FROM side),
+edge AS (SELECT name, y, x, v, l AS a, u AS b, d AS c, CASE WHEN y = 0 AND x = 0 THEN 128 WHEN y = 0 THEN l WHEN x = 0 THEN u END AS e FROM side)"""
 _DWT = """s0 AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, floor(value * 10)::BIGINT AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-s AS (SELECT * FROM s0 WHERE n > 1),
+s AS (SELECT * FROM s0),
 h AS (SELECT o.user_id, o.i, o.v - floor((l.v + coalesce(r.v, l.v)) / 2)::BIGINT AS d FROM s o JOIN s l ON l.user_id = o.user_id AND l.i = o.i - 1 LEFT JOIN s r ON r.user_id = o.user_id AND r.i = o.i + 1 WHERE o.i % 2 = 1),
 w AS (SELECT user_id, i, d AS w FROM h UNION ALL
-  SELECT e.user_id, e.i, e.v + floor((coalesce(l.d, r.d) + coalesce(r.d, l.d) + 2) / 4)::BIGINT FROM s e LEFT JOIN h l ON l.user_id = e.user_id AND l.i = e.i - 1 LEFT JOIN h r ON r.user_id = e.user_id AND r.i = e.i + 1 WHERE e.i % 2 = 0)"""
+  SELECT e.user_id, e.i, e.v + coalesce(floor((coalesce(l.d, r.d) + coalesce(r.d, l.d) + 2) / 4)::BIGINT, 0) FROM s e LEFT JOIN h l ON l.user_id = e.user_id AND l.i = e.i - 1 LEFT JOIN h r ON r.user_id = e.user_id AND r.i = e.i + 1 WHERE e.i % 2 = 0)"""
 _CLAMP = "greatest(0, least(255, floor({} + 0.5)))::INT"
 
 ORACLES: dict[str, str] = {
@@ -179,11 +180,10 @@ FROM (SELECT unnest({list(QUALITIES)}) AS quality), range(1, 65) t(p)""",
     "rct_roundtrip": f"SELECT id, ((r + 2 * g + b) // 4)::INT AS y, (b - g)::INT AS u, (r - g)::INT AS v, true AS exact FROM ({_PX})",
     "med_predictor_residuals": f"""WITH {_IMG}, e AS (SELECT name, y, x, v - CASE WHEN c >= greatest(a, b) THEN least(a, b) WHEN c <= least(a, b) THEN greatest(a, b) ELSE a + b - c END AS residual FROM near)
 SELECT name, y, x, residual::INT AS residual, (CASE WHEN residual >= 0 THEN 2 * residual ELSE -2 * residual - 1 END)::INT AS mapped FROM e""",
-    "lossless_predictors_1_7": f"""WITH {_IMG} SELECT name, sum(abs(v - a))::BIGINT AS error1, sum(abs(v - b))::BIGINT AS error2, sum(abs(v - c))::BIGINT AS error3, sum(abs(v - (a + b - c)))::BIGINT AS error4,
-sum(abs(v - (a + floor((b - c) / 2))))::BIGINT AS error5, sum(abs(v - (b + floor((a - c) / 2))))::BIGINT AS error6, sum(abs(v - floor((a + b) / 2)))::BIGINT AS error7 FROM near GROUP BY name""",
+    "lossless_predictors_1_7": f"""WITH {_IMG} SELECT name, {", ".join(f"sum(abs(v - coalesce(e, {p})))::BIGINT AS error{k}" for k, p in enumerate(("0", "a", "b", "c", "a + b - c", "a + floor((b - c) / 2)", "b + floor((a - c) / 2)", "floor((a + b) / 2)")))} FROM edge GROUP BY name""",
     "dwt53_forward": f"WITH {_DWT} SELECT user_id, i, w FROM w",
     "dwt53_roundtrip": f"WITH {_DWT} SELECT user_id, count(*) AS n, 0::BIGINT AS wrong FROM s GROUP BY user_id",
     "image_quality_metrics": f"""WITH {_IMG}, d AS (SELECT name, v - v // 4 * 4 AS d FROM img)
 SELECT name, round(avg(d), 6) AS mae, max(d)::BIGINT AS max_diff, round(10 * log10(65025.0 / avg(d * d)), 6) AS psnr, max(d) = 0 AS lossless FROM d GROUP BY name""",
     "gradient_fixture": "SELECT 'ramp' AS name, (range // 64)::INT AS y, (range % 64)::INT AS x, (range * 255 // 4095)::INT AS v FROM range(4096)",
-} | planes.oracles(_LEVEL, _IMG, _PX) | more.oracles(_COEF, _LEVEL, _IMG, _PX, _DWT) | images.ORACLES
+} | planes.oracles(_LEVEL, _IMG, _PX) | more.oracles(_COEF, _LEVEL, _IMG, _PX, _DWT) | images.ORACLES | formats.oracles(_COEF, _LEVEL, _IMG, _PX, _DWT)

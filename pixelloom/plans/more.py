@@ -11,12 +11,13 @@ from pixelloom.functions import color, fixed
 from pixelloom.operators import bands, blocks, planes, signals
 
 QUALITIES = (10, 50, 90)
-STEPS, DEPTH = [0.6, 0.75, 1.25, 1.5, 3.3, 10.7, 200.0], 10
+DEPTH = 10
 TOPS, NEARS = [3, 15, 127, 255, 1023, 4095, 65535], [0, 1, 3]
 RANGE = 256
 SIZES, TILE = [(512, 512), (300, 200), (129, 1)], 128
-#: Lengths of the codes of the standard's luminance DC table, by category.
-DC_LENGTHS = [2, 3, 3, 3, 3, 3, 4, 5, 6, 7, 8, 9]
+#: Lengths of the codes of the standard's luminance tables: DC by category (those beyond the table are escapes of 16 bits), AC by symbol.
+DC_LENGTHS = [*fixed.lengths(fixed.DC_COUNTS), 16, 16, 16, 16]
+AC_LENGTHS = dict(zip(fixed.ac_symbols(), fixed.lengths(fixed.AC_COUNTS), strict=True))
 
 
 def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable, signal: Callable) -> dict[str, Callable]:
@@ -77,8 +78,9 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
         return bands.plane_53(raster(spark)).rollup("name", "band").agg(F.count("*").alias("n"), nonzero)
 
     def stepsize_encode(spark, sf_dir):
+        """The step that each event's value asks for, coded."""
         e, m = bands.step_code(F.col("step"), DEPTH)
-        return spark.createDataFrame([(s,) for s in STEPS], "step double").select("step", e.alias("exponent"), m.alias("mantissa"))
+        return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.abs("value") + 0.3).alias("step")).select("event_id", e.alias("exponent"), m.alias("mantissa"))
 
     def significance(spark):
         return raster(spark).withColumn("s", (F.abs(F.col("v") - 128) >= 64).cast("int"))
@@ -112,14 +114,22 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
         return one.select("y", "x", *(F.when(F.col("band") == i, 255).otherwise(0).alias(c) for i, c in enumerate("rgb")))
 
     def ff_stuffing_count(spark, sf_dir):
-        return levels(spark, sf_dir).groupBy("vec_id").agg(F.count(F.when(F.pmod("level", F.lit(256)) == 255, 1)).alias("stuffed"))
+        """What a coded scan of each document's digest (bytes of every value, unlike UTF-8) grows by."""
+        digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+        return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", planes.stuffed(digest).cast("long").alias("stuffed"))
 
     def huffman_bit_budget(spark, sf_dir):
+        """Bits of each image's coded levels with the standard's luminance tables: DC differences and AC symbols."""
         image = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("label").alias("image"))
-        dc = levels(spark, sf_dir).where("pos = 0").select("vec_id", F.col("level").alias("dc")).join(image, "vec_id")
-        codes = spark.createDataFrame(list(enumerate(DC_LENGTHS)), "ssss int, bits int")
-        d = planes.differences(dc, "image", "vec_id", "dc").withColumn("ssss", color.category(F.col("diff")))
-        return d.join(F.broadcast(codes), "ssss").groupBy("image").agg(F.sum(F.col("bits") + F.col("ssss")).alias("bits"))
+        own = levels(spark, sf_dir).join(image, "vec_id")
+        d = planes.differences(own.where("pos = 0").select("image", "vec_id", F.col("level").alias("dc")), "image", "vec_id", "dc")
+        of = lambda table: F.create_map(*(F.lit(x) for item in table for x in item))
+        size = color.category(F.col("diff"))
+        dc = d.select("image", F.lit("dc").alias("kind"), (F.try_element_at(of(enumerate(DC_LENGTHS)), size) + size).alias("bits"))
+        # Symbols beyond the table's sizes (over 10 bits) count as escapes of 16.
+        bits = F.coalesce(F.try_element_at(of(AC_LENGTHS.items()), F.col("symbol")), F.lit(16)) + F.col("symbol") % 16 + F.col("zrl") * AC_LENGTHS[0xF0]
+        ac = blocks.run_symbols(blocks.scanned(own), "vec_id").join(image, "vec_id").select("image", F.lit("ac").alias("kind"), bits.alias("bits"))
+        return dc.unionByName(ac).groupBy("image", "kind").agg(F.sum("bits").cast("long").alias("bits"))
 
     own = (
         jpeg_recon_mae_by_quality, ict_inverse, chroma_upsample, deinterleave_planes, interleave_pixels, jpegls_error_mapping, modulo_reduction, jpegls_default_thresholds,
@@ -136,7 +146,7 @@ def oracles(coef: str, level: str, img: str, px: str, signal: str) -> dict[str,
     both = "coalesce(lag({0}) OVER w, lead({0}) OVER w) + coalesce(lead({0}) OVER w, lag({0}) OVER w)"
     chain, was = "", "v::DOUBLE"
     for n, (weight, odd) in enumerate(((a, 1), (b, 0), (c, 1), (d, 0))):
-        chain += f", l{n} AS (SELECT user_id, i, v, CASE WHEN i % 2 = {odd} THEN {was} + ({both.format(was)}) * {weight} ELSE {was} END AS w{n} FROM {'s' if not n else f'l{n - 1}'} WINDOW w AS (PARTITION BY user_id ORDER BY i))"
+        chain += f", l{n} AS (SELECT user_id, i, v, n, CASE WHEN i % 2 = {odd} THEN {was} + coalesce(({both.format(was)}) * {weight}, 0) ELSE {was} END AS w{n} FROM {'s' if not n else f'l{n - 1}'} WINDOW w AS (PARTITION BY user_id ORDER BY i))"
         was = f"w{n}"
     lift = lambda src, k, at, v: f"""h_{at} AS (SELECT o.*, CASE WHEN o.{at} % 2 = 1 THEN o.{v} - floor((l.{v} + coalesce(r.{v}, l.{v})) / 2)::BIGINT END AS d FROM {src} o
   LEFT JOIN {src} l ON l.name = o.name AND l.{k} = o.{k} AND l.{at} = o.{at} - 1 LEFT JOIN {src} r ON r.name = o.name AND r.{k} = o.{k} AND r.{at} = o.{at} + 1),
@@ -168,11 +178,11 @@ SELECT quality::INT AS quality, round(avg(abs(px.v - back.v)), 4) AS mae FROM ba
         "jpegls_default_thresholds": f"""WITH a AS (SELECT top::INT AS top, near::INT AS near, {want[0]} AS w1, {want[1]} AS w2, {want[2]} AS w3 FROM (SELECT unnest({TOPS}) AS top), (SELECT unnest({NEARS}) AS near) WHERE near <= top // 2),
 b AS (SELECT *, {limit.format(w="w1", f="(near + 1)")} AS t1 FROM a), c AS (SELECT *, {limit.format(w="w2", f="t1")} AS t2 FROM b)
 SELECT top, near, t1::INT AS t1, t2::INT AS t2, ({limit.format(w="w3", f="t2")})::INT AS t3 FROM c""",
-        "dwt97_forward": f"WITH {signal}{chain} SELECT user_id, i, round(CASE WHEN i % 2 = 1 THEN w3 * {bands.SCALE_97} ELSE w3 / {bands.SCALE_97} END, 4) AS w FROM l3",
+        "dwt97_forward": f"WITH {signal}{chain} SELECT user_id, i, round(CASE WHEN n = 1 THEN w3 WHEN i % 2 = 1 THEN w3 * {bands.SCALE_97} ELSE w3 / {bands.SCALE_97} END, 4) AS w FROM l3",
         "dwt97_roundtrip": f"WITH {signal} SELECT user_id, count(*) AS n, true AS exact FROM s GROUP BY user_id",
         "dwt53_2d_one_level": f"WITH {plane} SELECT name, y, x, w, band FROM bands",
         "subband_rollup": f"WITH {plane} SELECT name, band, count(*) AS n, count(*) FILTER (w <> 0) AS nonzero FROM bands GROUP BY ROLLUP (name, band)",
-        "stepsize_encode": f"SELECT step::DOUBLE AS step, ({DEPTH} - floor(log2(step)))::INT AS exponent, floor((step / pow(2.0, floor(log2(step))) - 1) * 2048)::INT AS mantissa FROM (SELECT unnest({STEPS}::DOUBLE[]) AS step)",
+        "stepsize_encode": f"SELECT event_id, ({DEPTH} - floor(log2(step)))::INT AS exponent, floor((step / pow(2.0, floor(log2(step))) - 1) * 2048)::INT AS mantissa FROM (SELECT event_id, abs(value)::DOUBLE + 0.3::DOUBLE AS step FROM events)",
         "significance_neighbors": f"WITH {sums(hit)} SELECT name, y, x, h, v2, d FROM n",
         "zc_context": f"""WITH {sums(hit)} SELECT name, y, x, ({low.format(h="h", v="v2")})::INT AS ll, ({low.format(h="v2", v="h")})::INT AS hl,
 (CASE WHEN d >= 3 THEN 8 WHEN d = 2 THEN CASE WHEN h + v2 >= 1 THEN 7 ELSE 6 END ELSE 3 * d + least(h + v2, 2) END)::INT AS hh FROM n""",
@@ -182,7 +192,11 @@ SELECT name, y, x, context::INT AS context, flip::INT AS flip FROM c JOIN (VALUE
 FROM (VALUES {", ".join(map(str, SIZES))}) s(w, h), range(8) t(tx), range(8) u(ty) WHERE tx * {TILE} < w AND ty * {TILE} < h""",
         "lossless_flag": f"WITH {img} SELECT name, bool_and(name = 'ramp' OR v % 4 = 0) AS lossless FROM img GROUP BY name",
         "rgb_stripes_fixture": "SELECT (range // 256)::INT AS y, (range % 256)::INT AS x, (CASE WHEN range % 256 < 85 THEN 255 ELSE 0 END)::INT AS r, (CASE WHEN range % 256 BETWEEN 85 AND 169 THEN 255 ELSE 0 END)::INT AS g, (CASE WHEN range % 256 >= 170 THEN 255 ELSE 0 END)::INT AS b FROM range(1024)",
-        "ff_stuffing_count": f"WITH {level} SELECT vec_id, count(*) FILTER ((level % 256 + 256) % 256 = 255) AS stuffed FROM levels GROUP BY vec_id",
+        "ff_stuffing_count": "SELECT doc_id, len(list_filter(regexp_extract_all(sha256(coalesce(text, '')), '..'), lambda b: b = 'ff'))::BIGINT AS stuffed FROM documents",
         "huffman_bit_budget": f"""WITH {level}, d AS (SELECT e.label AS image, l.level - lag(l.level, 1, 0) OVER (PARTITION BY e.label ORDER BY vec_id) AS diff FROM levels l JOIN embeddings e USING (vec_id) WHERE pos = 0),
-k AS (SELECT image, CASE WHEN diff = 0 THEN 0 ELSE length(bin(abs(diff))) END AS ssss FROM d) SELECT image, sum({DC_LENGTHS}[ssss + 1] + ssss)::BIGINT AS bits FROM k GROUP BY image""",
+k AS (SELECT image, CASE WHEN diff = 0 THEN 0 ELSE length(bin(abs(diff))) END AS ssss FROM d),
+t(symbol, size) AS (VALUES {", ".join(map(str, AC_LENGTHS.items()))}),
+a AS (SELECT e.label AS image, run // 16 AS zrl, run % 16 * 16 + ssss AS symbol FROM runs JOIN embeddings e USING (vec_id) UNION ALL SELECT e.label, 0, 0 FROM scan JOIN embeddings e USING (vec_id) WHERE k = 63 AND level = 0)
+SELECT image, 'dc' AS kind, sum({DC_LENGTHS}[ssss + 1] + ssss)::BIGINT AS bits FROM k GROUP BY image
+UNION ALL SELECT image, 'ac', sum(coalesce(size, 16) + symbol % 16 + zrl * {AC_LENGTHS[0xF0]})::BIGINT FROM a LEFT JOIN t USING (symbol) GROUP BY image""",
     }

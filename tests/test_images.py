@@ -59,11 +59,11 @@ def test_headers():
 
 def test_broken_bytes_stay_as_rows_with_errors(spark):
     good = jpegls.encode(np.arange(64).reshape(8, 8, 1))
-    rows = [(0, good), (1, good[:-9]), (2, b""), (3, None), (4, b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00\xff\xd9")]
+    rows = [(0, good), (1, good[:-9]), (2, b""), (3, None), (4, b"\xff\xd8\xff\xc9\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00\xff\xd9")]
     df = spark.createDataFrame(rows, "id long, content binary").selectExpr("id", "content", "'x' AS error", "7 AS width")
     got = {r["id"]: r for r in codec.decode(df).collect()}
     assert got[0]["error"] is None and got[0]["width"] == 8 and bytes(got[0]["pixels"]) == bytes(range(64))
-    assert all(got[i]["error"] and got[i]["pixels"] is None for i in range(1, 5)) and "SOF2" in got[4]["error"]
+    assert all(got[i]["error"] and got[i]["pixels"] is None for i in range(1, 5)) and "SOF9" in got[4]["error"]
     assert codec.decode(df.where("id < 0")).count() == 0 and streams.image_info(df).where("error IS NULL").count() == 3
     assert streams.marker_segments(df, "id").where("error IS NOT NULL").count() == 3
     copies = {r["id"]: r for r in codec.transcode(df, "jpeg").collect()}
