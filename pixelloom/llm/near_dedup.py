@@ -15,7 +15,9 @@ Links are found in rounds, without all pairs of a band's bucket; after each the
 1. each document with the smallest id of each of its buckets, the two most alike of them;
 2. in each bucket that still has more than one component, each document with the most alike one of each other component;
 3. in each such bucket, all pairs of different components that pass the two tests.
-Pairs of one component need no further link. Large buckets are cut into blocks, so that no task holds one whole.
+Pairs of one component need no further link. Large buckets are cut into blocks, so that no task holds one whole: sets whose
+sizes differ by more than the similarity allows can't be linked, so documents are put into cells by the logarithm of
+their set's size, and a block meets those of its own cell and of the two beside it only.
 
 Defined results: null and empty texts, or those of white space, have an empty set and no link; null ids are never
 linked; rows with equal ids and texts are one document (rows with equal ids and other texts are compared text by text and
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -41,6 +43,8 @@ PARITIES = 2048
 #: A similarity of NUMERATOR / DENOMINATOR leaves at most (|A| + |B|) / ODD_LIMIT unequal shingles.
 ODD_LIMIT = (DENOMINATOR + NUMERATOR) / (DENOMINATOR - NUMERATOR)
 BATCH_BYTES = 1 << 20
+#: Cells of set sizes: a little wider than the widest ratio of linked sets, against rounding.
+CELL = float(np.log(1.001 * DENOMINATOR / NUMERATOR))
 #: Documents of one block of a bucket, and of one group of pairs with the same first document.
 BLOCK, GROUP = 1000, 200
 #: Ids (16 bytes each) up to which the list of candidates is broadcast to pick their texts; beyond, it is joined by shuffles.
@@ -164,7 +168,7 @@ def _bucket_pairs(every: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in shared.runs(batches, ["_h", "_i", "_j"]):
             sig, odd = sketches(pdf["_sig"], pdf["_odd"])
-            rep, comp, block, n = (pdf[c].to_numpy() for c in ("_rep", "_comp", "_block", "_n"))
+            rep, comp, block, n = (pdf[c].to_numpy(np.int64) for c in ("_rep", "_comp", "_block", "_n"))
             key = np.stack([pdf[c].to_numpy() for c in ("_h", "_i", "_j")])
             edge = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), len(pdf)]
             found = [np.zeros((2, 0), np.int64)]
@@ -175,6 +179,8 @@ def _bucket_pairs(every: bool):
                     ok = (comp[some, None] != comp[None, x:y]) & (rep[some, None] < rep[None, x:y])
                     if cross:
                         ok &= block[some, None] != block[None, x:y]
+                    small, large = np.minimum(n[some, None], n[None, x:y]), np.maximum(n[some, None], n[None, x:y])
+                    ok &= DENOMINATOR * small >= NUMERATOR * large
                     if not ok.any():
                         continue
                     unlike = np.bitwise_count(odd[some, None] ^ odd[None, x:y]).sum(2, dtype=np.int64)
@@ -248,10 +254,7 @@ def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     for every in (False, True):
         placed = members.join(known.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
         mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
-        blocks = F.ceil(F.col("_many") / BLOCK).cast("int")
-        rows = placed.join(mixed, "_h").withColumn("_block", F.pmod(F.xxhash64("_rep"), blocks).cast("int"))
-        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("_h", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "_block", "_rep", "_comp").join(short, "_rep")
+        rows = blocked(placed.join(mixed, "_h").join(short, "_rep"))
         met = rows.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs(every), "a long, b long").distinct()
         more = shared.cut(confirmed(met, sets))
         if more.isEmpty():
@@ -261,6 +264,28 @@ def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     return known
 
 
+def blocked(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows(_h, _many, _rep, _n, ...) once for each pair of blocks (_i, _j) that their block (_block) is part of; a bucket of at most `block` documents is one block."""
+    cell = F.when(F.col("_many") > block, F.floor(F.log(F.col("_n").cast("double")) / CELL) + 1).otherwise(0)
+    rows = rows.withColumn("_cell", cell.cast("long"))
+    # Small buckets need no counts; of a large one, each cell's number of blocks goes to the cell and its neighbours.
+    counts = rows.where("_many > " + str(block)).groupBy("_h", "_cell").agg(F.ceil(F.count("*") / block).alias("_b"))
+    spread = counts.select("_h", F.explode(F.array(*(F.struct((F.col("_cell") + d).alias("_cell"), F.lit(-d).alias("_d"), F.col("_b")) for d in (-1, 0, 1)))).alias("_s")).select("_h", "_s.*")
+    beside = spread.groupBy("_h", "_cell").agg(*(F.max(F.when(F.col("_d") == d, F.col("_b"))).alias(name) for d, name in ((-1, "_under"), (0, "_own"), (1, "_over"))))
+    met = rows.join(beside, ["_h", "_cell"], "left")
+    at = lambda c, salt: c * (1 << 32) + salt
+    own = F.coalesce("_own", F.lit(1))
+
+    def all_of(d: int, name: str) -> Column:
+        first = at(F.col("_cell") + d, F.lit(0).cast("long"))
+        return F.when(F.col(name) > 0, F.sequence(first, first + F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
+
+    others = [all_of(d, name) for d, name in ((-1, "_under"), (0, "_mine"), (1, "_over"))]
+    met = met.withColumn("_mine", own).withColumn("_block", at(F.col("_cell"), F.pmod(F.xxhash64("_rep"), own)))
+    each = met.withColumn("_other", F.explode(F.concat(*others)))
+    return each.withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other")).drop("_cell", "_under", "_own", "_over", "_mine", "_other", "_many")
+
+
 def _rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs that pass both tests, with the share of equal minima."""
     for pdf in batches:

@@ -77,6 +77,27 @@ def test_near_dedup(spark):
     assert near_dedup.dedupe(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_in_many_blocks(spark, monkeypatch):
+    """Buckets of several blocks and cells of sizes: every pair of documents that may be linked meets in exactly one pair of blocks."""
+    r = random.Random(21)
+    rows = [(h, 40 if h else 3, i, r.choice([10, 12, 13, 14, 30, 31, 40, 41, 55])) for h in (0, 1, 2) for i in range(40 if h else 3)]
+    df = spark.createDataFrame(rows, "_h long, _many long, _rep long, _n long")
+    met = collections.defaultdict(list)
+    for x in near_dedup.blocked(df, 5).collect():
+        met[x["_h"], x["_i"], x["_j"]].append((x["_rep"], x["_n"], x["_block"]))
+    pairs = collections.Counter()
+    for (h, i, j), own in met.items():
+        for a, b in itertools.combinations(own, 2):
+            if i == j or a[2] != b[2]:
+                pairs[h, min(a[0], b[0]), max(a[0], b[0])] += 1
+    size = {(h, i): n for h, _, i, n in rows}
+    for h, many in ((0, 3), (1, 40), (2, 40)):
+        for a, b in itertools.combinations(range(many), 2):
+            small, large = sorted((size[h, a], size[h, b]))
+            assert pairs[h, a, b] == 1 or (pairs[h, a, b] == 0 and 100 * small < 75 * large)
+    assert not any(pairs[1, a, b] for a in range(40) for b in range(a + 1, 40) if size[1, a] <= 14 and size[1, b] >= 40)
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     items = [(k, prose(r, n)) for k, n in enumerate([25, 10, 4, 0, 12])] + [(9, None)]
