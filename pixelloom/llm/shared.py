@@ -24,7 +24,19 @@ PUNCT_SEPARATORS = frozenset([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows that go to a Python worker at once, at most: with Spark's 10,000 a batch of long texts takes a gigabyte.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps the session's batches for Python workers small; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -79,6 +91,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again (smaller than a checkpoint)."""
     spark = df.sparkSession
+    bounded(spark)
     path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -86,6 +99,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner see which shuffles and checkpoints nobody needs any more, and gives the driver's free memory back."""
+    bounded(spark)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     trim()

@@ -336,7 +336,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted(row for pdf in batches for row in pdf.itertuples(index=False, name=None))
-        yield pd.DataFrame({"net": [pickle.dumps(train([t for _, _, t in got], [int(y) for _, y, _ in got]))]})
+        net = pickle.dumps(train([t for _, _, t in got], [int(y) for _, y, _ in got]))
+        got.clear()
+        shared.trim()
+        yield pd.DataFrame({"net": [net]})
 
     nets = sample.mapInPandas(trained, "net binary").collect()
     return pickle.loads(nets[0]["net"]) if nets else None
