@@ -123,7 +123,8 @@ def byte_counts(df: DataFrame, text: str) -> DataFrame:
             for t in pdf[text].dropna():
                 total += np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"byte": [f"{b:02X}" for b in some], "n": total[some]})
+        if len(some):
+            yield pd.DataFrame({"byte": [f"{b:02X}" for b in some], "n": total[some]})
 
     return df.select(text).mapInPandas(counted, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 

@@ -41,6 +41,7 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
                     f.write(data)
                 store.move(temporary, f"{path}/{n}")
                 out.append((n, len(data)))
-            yield pd.DataFrame(out, columns=["name", "bytes"])
+            if out:
+                yield pd.DataFrame(out, columns=["name", "bytes"])
 
     return df.select(name, content).mapInPandas(run, "name string, bytes long")

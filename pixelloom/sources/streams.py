@@ -61,6 +61,8 @@ def listed(df: DataFrame, key: str, content: str, row: Callable[[bytes], list[tu
             for k, data in zip(pdf[key], pdf[content], strict=True):
                 got, error = guarded(row, data)
                 out += [(k, *t, None) for t in got] if error is None else [(k, *[None] * len(names), error)]
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=[key, *names, "error"])
             for c, kind in (x.split() for x in columns.split(", ")):
                 if kind == "long":

@@ -283,6 +283,12 @@ def test_sinks_write_whole_files_only(spark, tmp_path):
     assert back == {"a.bin": b"one"}  # Spark's reader passes over empty files
 
 
+def test_bytes_of_texts_in_many_partitions(spark):
+    df = spark.createDataFrame([("aÄ",), (None,), ("",)], "text string").repartition(8)
+    assert {(r["byte"], r["n"]) for r in planes.byte_counts(df, "text").collect()} == {("61", 1), ("C3", 1), ("84", 1)}
+    assert planes.byte_counts(df.where("text = 'x'"), "text").count() == 0
+
+
 def test_raw_images(spark):
     df = spark.createDataFrame([(1, bytes(range(6))), (2, b"\0"), (3, None)], "id long, content binary")
     got = {r["id"]: r for r in streams.raw_images(df, 3, 1, 1, 16).collect()}
