@@ -9,7 +9,8 @@ of the document at that place are compared with the window exactly.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. The join compares words lower-cased as Unicode
 has it, which can only add candidates (such folding moves no word boundary); the exact comparison folds A-Z alone.
 
-The window index is sent to all executors in portions of at most PORTION windows; a larger benchmark takes more passes.
+The window index is sent to all executors in portions of about PORTION windows and PORTION_BYTES bytes at most; a larger
+benchmark takes more passes.
 
 Defined results: null and empty texts have no words and no hits; items without words have no windows; a null item_id
 counts as an empty string; a document row that occurs several times gets its result each time; other columns are not read.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SIZE = 10
-#: Windows (about 300 bytes each) and words that are broadcast at once.
-PORTION = 100_000
+#: Windows and words, and bytes of windows with their items' ids, that are broadcast at once.
+PORTION, PORTION_BYTES = 100_000, 32 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -74,7 +75,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     keys = [F.col(id).alias("_id"), F.xxhash64(text).alias("_h")]
     all_words = docs.select(*keys, words(F.col(text)).alias("_w"))
     placed = all_words.select("_id", "_h", "_w", F.size("_w").alias("_n"), F.posexplode("_w").alias("_pos", "_word")).withColumn("_word", F.lower("_word"))
-    passes = max(1, -(-index.count() // portion))
+    size = F.length("_win") + F.aggregate("_items", F.lit(0), lambda s, i: s + F.length(i) + 16) + 100
+    many, total = index.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    passes = max(1, -(-many // portion), -(-total // PORTION_BYTES))
     found = []
     for k in range(passes):
         part = index.where(F.pmod(F.xxhash64("_win"), F.lit(passes)) == k) if passes > 1 else index
