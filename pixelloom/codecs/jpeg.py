@@ -1,7 +1,6 @@
 """Coding by the public standard ITU-T T.81, in numpy but for the bit-serial reading of codes.
 
-The writer makes each scan's code tables from the scan's own symbols, so it carries no example tables; the reader takes
-any table, and baseline, extended, progressive and lossless Huffman-coded frames. Blocks that reach over the image's edge
+The writer makes each scan's code tables from the scan's own symbols, or takes the standard's; the reader takes any table, and baseline, extended, progressive and lossless Huffman-coded frames. Blocks that reach over the image's edge
 are filled with mid-gray. Arithmetic and hierarchical frames raise ValueError.
 """
 
@@ -76,6 +75,19 @@ def table_of(counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     return bytes(per) + bytes(order), code, size
 
 
+def stated_table(counts: list[int], symbols_: list[int]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The same of a table that is stated by its number of codes of each length and its symbols in order."""
+    code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    at, place = 0, 0
+    for n, many in enumerate(counts, 1):
+        at <<= 1
+        for s in symbols_[place : place + many]:
+            code[s], size[s] = at, n
+            at += 1
+        place += many
+    return bytes(counts) + bytes(symbols_), code, size
+
+
 def category(v: np.ndarray) -> np.ndarray:
     return np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))).astype(np.int64) + 1)
 
@@ -120,14 +132,19 @@ def packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
     return np.packbits(full).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-def scan_bytes(planes: list[np.ndarray], ids: list[int], restart: int) -> bytes:
-    """Tables, header and data of one scan; planes of levels of the same shape are interleaved block by block."""
+def scan_bytes(planes: list[np.ndarray], ids: list[int], restart: int, standard: bool = False) -> bytes:
+    """Tables, header and data of one scan; planes of levels of the same shape are interleaved block by block. standard: with the standard's luminance tables."""
     n = len(planes)
     levels = np.stack([p.reshape(-1, 64) for p in planes], axis=1).reshape(-1, 64)
     component = np.tile(np.arange(n), len(levels) // n)
     interval = np.arange(len(levels)) // n // restart if restart else np.zeros(len(levels), np.int64)
     at, kind, symbol, value, bits = symbols(levels, component, interval)
-    tables = [table_of(np.bincount(symbol[kind == t], minlength=256)) for t in (0, 1)]
+    if standard:
+        tables = [stated_table(fixed.DC_COUNTS, list(range(12))), stated_table(fixed.AC_COUNTS, fixed.ac_symbols())]
+        if any((tables[t][2][symbol[kind == t]] == 0).any() for t in (0, 1)):
+            raise ValueError("a level is too large for the standard's tables")
+    else:
+        tables = [table_of(np.bincount(symbol[kind == t], minlength=256)) for t in (0, 1)]
     out = [segments.segment(segments.DHT, bytes([t << 4]) + tables[t][0]) for t in (0, 1)]
     out.append(segments.segment(segments.SOS, bytes([n, *(b for i in ids for b in (i, 0)), 0, 63, 0])))
     code = np.where(kind == 0, tables[0][1][symbol], tables[1][1][symbol])
@@ -141,12 +158,13 @@ def scan_bytes(planes: list[np.ndarray], ids: list[int], restart: int) -> bytes:
     return b"".join(out)
 
 
-def encode(pixels: np.ndarray, quality: int = 75, restart: int = 0, planar: bool = False, progressive: bool = False) -> bytes:
-    """pixels: height x width x 1 or 3 bytes. planar: one scan for each component instead of one for all; progressive: ten scans or fewer, without restarts."""
+def encode(pixels: np.ndarray, quality: int = 75, restart: int = 0, planar: bool = False, progressive: bool = False, standard: bool = False) -> bytes:
+    """pixels: height x width x 1 or 3 bytes. planar: one scan for each component instead of one for all; progressive: in several
+    scans, without restarts; standard: with the standard's code tables instead of the scan's own."""
     from . import progressive as scans_of
 
     height, width, n = pixels.shape
-    if n not in (1, 3) or pixels.dtype != np.uint8 or not pixels.size or (progressive and (restart or planar)):
+    if n not in (1, 3) or pixels.dtype != np.uint8 or not pixels.size or (progressive and (restart or planar or standard)):
         raise ValueError("one or three components of bytes are needed, and options that go together")
     planes = pixels.astype(float)
     if n == 3:
@@ -160,7 +178,7 @@ def encode(pixels: np.ndarray, quality: int = 75, restart: int = 0, planar: bool
     if restart:
         out.append(segments.segment(segments.DRI, restart.to_bytes(2, "big")))
     for own in [[i] for i in range(n)] if planar else [list(range(n))]:
-        out.append(scan_bytes([levels[i] for i in own], [i + 1 for i in own], restart))
+        out.append(scan_bytes([levels[i] for i in own], [i + 1 for i in own], restart, standard))
     return b"".join([*out, segments.segment(segments.EOI, bare=True)])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pixelloom.codecs import arithmetic, jpegls, quads, segments, wavelet
 from pixelloom.functions import color, fixed
 from pixelloom.operators import bands, blocks, codec, planes, signals
-from pixelloom.sources import sinks, streams
+from pixelloom.sources import extension, sinks, streams
 
 from . import images
 
@@ -297,6 +297,48 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
     def jpegls_run_modes(spark, sf_dir):
         return planes.run_modes(raster(spark).withColumn("v", F.floor(F.col("v") / 64).cast("int")))
 
+    def jpeg_standard_tables(spark, sf_dir):
+        """Samples that differ between streams with the scan's own code tables and with the standard's: none."""
+        base = images._back(spark, 3, 8, "jpeg", quality=75)
+        both = base.join(images._back(spark, 3, 8, "jpeg", quality=75, standard=True).withColumnRenamed("v", "got"), ["name", "comp", "y", "x"], "full")
+        return both.groupBy("name").agg(F.count("*").alias("n"), F.count(F.when(~F.col("v").eqNullSafe(F.col("got")), 1)).alias("different"))
+
+    def marker_segments_sql(spark, sf_dir):
+        """Markers by the table function in SQL."""
+        extension.register(spark)
+        images._streams(spark).where("file IN ('a', 'b', 'e', 'g')").createOrReplaceTempView("pixelloom_streams")
+        return spark.sql("SELECT file, s.seq, s.marker FROM pixelloom_streams, LATERAL jpeg_segments(content) s")
+
+    def image_functions_sql(spark, sf_dir):
+        """Images coded and decoded by the SQL functions."""
+        extension.register(spark)
+        _gray(spark).createOrReplaceTempView("pixelloom_images")
+        coded = spark.sql("SELECT name, pixels, image_encode(pixels, width, height, components, bits, 'jpegls') AS content FROM pixelloom_images")
+        back = coded.select("name", "pixels", F.expr("image_decode(content)").alias("d"))
+        return back.select("name", "d.width", "d.height", "d.bits", (F.col("d.pixels") == F.col("pixels")).alias("equal"))
+
+    def stripe_scan_order(spark, sf_dir):
+        """The place of each sample in the order of bit-plane passes: stripes of four rows, column by column."""
+        w = signals.Window.partitionBy("name").orderBy(F.floor(F.col("y") / 4), "x", F.col("y") % 4)
+        return raster(spark).select("name", "y", "x", (F.row_number().over(w) - 1).alias("place"))
+
+    def packet_orders(spark, sf_dir):
+        """The place of each packet of two layers, three resolutions, three components in the progressions that go by these alone."""
+        one = spark.range(18).select(F.floor(F.col("id") / 9).cast("int").alias("layer"), F.floor(F.col("id") / 3 % 3).cast("int").alias("resolution"), (F.col("id") % 3).cast("int").alias("component"))
+        keys = {"LRCP": ("layer", "resolution", "component"), "RLCP": ("resolution", "layer", "component"), "CPRL": ("component", "resolution", "layer")}
+        return _union(one.select(F.lit(p).alias("progression"), "*", (F.row_number().over(signals.Window.partitionBy(F.lit(p)).orderBy(*k)) - 1).alias("place")) for p, k in keys.items())
+
+    def subband_recomposition(spark, sf_dir):
+        """The four bands of a plane put together again."""
+        w = bands.plane(raster(spark))
+        return _union(w.where(F.col("band") == b).select("name", "y", "x", "w") for b in ("LL", "HL", "LH", "HH"))
+
+    def failing_only_in_decoding(spark, sf_dir):
+        """Files whose header can be read, less those that can be decoded."""
+        source = images._streams(spark)
+        sound = streams.image_info(source).where("error IS NULL").select("file")
+        return sound.exceptAll(codec.decode(source).where("error IS NULL").select("file"))
+
     def golden_fixtures(spark, sf_dir):
         return golden(spark).groupBy("name", "comp").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v").cast("long") * (F.col("y") * 3 + F.col("x") + 1)).alias("weighted"))
 
@@ -311,7 +353,7 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
         codestream_markers, wavelet_styles, icc_profiles, codec_listing, idct_fixed_point, ycbcr_to_rgb_truncated, j2k_finalise, stepsize_decode, derived_steps, preset_validation,
         decoder_status_diff, success_rate, compression_ratio, psnr_of_equal_images, raw_scan, file_sinks, ppm_export_rgb, mr_context, ht_quad_context, ht_block_roundtrip, mel_runs,
         golomb_codes, arithmetic_sequence, dwt53_2d_inverse, dwt97_2d_inverse, dwt53_pyramid, dwt53_pyramid_inverse, ac_symbols, standard_code_tables, jpegls_run_modes, golden_fixtures,
-        rgb_opposed_ramps,
+        rgb_opposed_ramps, jpeg_standard_tables, marker_segments_sql, image_functions_sql, stripe_scan_order, packet_orders, subband_recomposition, failing_only_in_decoding,
     )
     return {f.__name__: f for f in own}
 
@@ -402,6 +444,13 @@ SELECT k::INT AS k, b::INT AS byte, (CASE WHEN n <= 8 THEN q * (1 << k) + (b //
         "ac_symbols": f"WITH {level} SELECT vec_id, k, (run // 16)::INT AS zrl, (run % 16 * 16 + ssss)::INT AS symbol FROM runs UNION ALL SELECT vec_id, 64, 0, 0 FROM scan WHERE k = 63 AND level = 0",
         "standard_code_tables": f"SELECT name, idx::INT AS idx, symbol::INT AS symbol, bits::INT AS bits, (coalesce(sum(pow(2.0, -bits)) OVER (PARTITION BY name ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * pow(2.0, bits))::BIGINT AS code FROM (VALUES {tables}) t(name, idx, symbol, bits)",
         "jpegls_run_modes": f"{modes} SELECT name, y, x, mode FROM walk",
+        "jpeg_standard_tables": f"SELECT name, count(*) AS n, 0::BIGINT AS different FROM ({images._made(3, 8)}) GROUP BY name",
+        "marker_segments_sql": "SELECT file, seq::INT AS seq, marker FROM (VALUES ('a', 0, 'SOI'), ('a', 1, 'SOF55'), ('a', 2, 'SOS'), ('a', 3, 'EOI'), ('b', 0, 'SOI'), ('b', 1, 'DQT'), ('b', 2, 'SOF0'), ('b', 3, 'DHT'), ('b', 4, 'DHT'), ('b', 5, 'SOS'), ('b', 6, 'EOI')) t(file, seq, marker)",
+        "image_functions_sql": f"SELECT name, w::BIGINT AS width, h::BIGINT AS height, 8::BIGINT AS bits, true AS equal FROM (VALUES {rows(shapes)}) t(name, w, h)",
+        "stripe_scan_order": f"WITH {img} SELECT name, y, x, (y // 4 * 4 * 32 + x * 4 + y % 4)::INT AS place FROM img",
+        "packet_orders": "SELECT p AS progression, l::INT AS layer, r::INT AS resolution, c::INT AS component, (CASE p WHEN 'LRCP' THEN l * 9 + r * 3 + c WHEN 'RLCP' THEN r * 6 + l * 3 + c ELSE c * 6 + r * 2 + l END)::INT AS place FROM range(2) a(l), range(3) b(r), range(3) d(c), (VALUES ('LRCP'), ('RLCP'), ('CPRL')) t(p)",
+        "subband_recomposition": f"{pyramid} SELECT name, y, x, v AS w FROM p1",
+        "failing_only_in_decoding": "SELECT * FROM (VALUES ('c'), ('d')) t(file)",
         "golden_fixtures": f"WITH {golds} SELECT name, comp::INT AS comp, count(*) AS n, min(v)::INT AS least, max(v)::INT AS most, sum(v * (y * 3 + x + 1))::BIGINT AS weighted FROM s GROUP BY ALL",
         "rgb_opposed_ramps": "SELECT (range // 128)::INT AS y, (range % 128)::INT AS x, (range % 128 * 255 // 127)::INT AS r, 255 - (range % 128 * 255 // 127)::INT AS g, 128 AS b FROM range(512)",
     }

@@ -7,11 +7,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pixelloom import __main__ as cli
 from pixelloom.codecs import arithmetic, codeblocks, jpeg, jpegls, lifting, lossless, quads, segments, wavelet
 from pixelloom.functions import fixed
 from pixelloom.operators import bands, blocks, codec, planes, signals
 from pixelloom.plans import formats
-from pixelloom.sources import sinks, streams
+from pixelloom.sources import extension, sinks, streams
 
 
 def picture(h, w, n, bits=8, seed=0):
@@ -302,3 +303,37 @@ def test_reports_and_rates(spark):
     got = {r["file"]: (r["status_a"], r["status_b"], r["agree"]) for r in codec.status_differences(a, b, "file").collect()}
     assert got == {"x": ("OK", "OK", True), "y": ("ERROR", None, False), "z": (None, "OK", False)}
     assert codec.success_rates(a.selectExpr("'k' AS kind", "status"), "kind").first()["rate"] == 0.5
+
+
+def test_sql_functions_and_source(spark, tmp_path):
+    extension.register(spark)
+    p = picture(9, 7, 3).astype(np.uint8)
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    files = {"a.j2c": wavelet.encode(p), "b.jls": jpegls.encode(p), "deep/c.jpg": lossless.encode(p), "d.txt": b"no image", "deep/e.j2c": wavelet.encode(p)[:40]}
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in extension.images(spark, f"{tmp_path}/in").collect()}
+    assert {k: r["error"] is None for k, r in got.items()} == {"a.j2c": True, "b.jls": True, "c.jpg": True, "d.txt": False, "e.j2c": False}
+    assert all(bytes(r["pixels"]) == p.tobytes() and (r["width"], r["height"]) == (7, 9) for r in got.values() if r["error"] is None)
+    assert extension.images(spark, f"{tmp_path}/in", (".jls", ".jpg")).count() == 2
+    assert spark.sql("SELECT image_decode(CAST(NULL AS BINARY)).error AS e, image_encode(X'00', 1, 2, 1, 8, 'jpeg') AS c, image_encode(X'00', 1, NULL, 1, 8, 'jpeg') AS n").first()[:] == ("no bytes", None, None)
+    assert spark.sql("SELECT count(*) FROM (SELECT X'FFD8' AS c), LATERAL jp2_boxes(c)").first()[0] == 0
+    # Files in subfolders are found by the plain reader, too, unless it is told not to.
+    assert streams.files(spark, f"{tmp_path}/in").count() == 5 and streams.files(spark, f"{tmp_path}/in", recursive=False).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    p = picture(6, 5, 3).astype(np.uint8)
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "one.raw").write_bytes(p.tobytes())
+    geometry = ["--width", "5", "--height", "6", "--components", "3"]
+    assert cli.main(["encode", f"{tmp_path}/raw", f"{tmp_path}/jls", "--codec", "jpegls", *geometry], spark) == 0
+    assert cli.main(["transcode", f"{tmp_path}/jls", f"{tmp_path}/jp2", "--codec", "jp2"], spark) == 0
+    assert cli.main(["decode", f"{tmp_path}/jp2", f"{tmp_path}/back"], spark) == 0
+    assert (tmp_path / "back" / "one.raw").read_bytes() == p.tobytes()
+    assert cli.main(["decode", f"{tmp_path}/jp2", f"{tmp_path}/ppm", "--format", "ppm"], spark) == 0
+    assert (tmp_path / "ppm" / "one.ppm").read_bytes() == b"P6\n5 6\n255\n" + p.tobytes()
+    assert cli.main(["info", f"{tmp_path}/jls"], spark) == 0 and cli.main(["list"], spark) == 0 and "jpegls" in capsys.readouterr().out
+    (tmp_path / "raw" / "short.raw").write_bytes(b"xx")
+    assert cli.main(["encode", f"{tmp_path}/raw", f"{tmp_path}/jpg", *geometry], spark) == 1
+    assert [f.name for f in (tmp_path / "jpg").iterdir() if not f.name.startswith(".")] == ["one.jpg"] and "short.raw" in capsys.readouterr().out
