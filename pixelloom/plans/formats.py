@@ -339,6 +339,19 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
         sound = streams.image_info(source).where("error IS NULL").select("file")
         return sound.exceptAll(codec.decode(source).where("error IS NULL").select("file"))
 
+    def idct_values(spark, sf_dir):
+        """The samples that come back from their coefficients."""
+        c = blocks.coefficients(embedded(spark, sf_dir), "vec_id", "block")
+        whole = F.transform(F.sort_array(F.collect_list(F.struct("pos", "coef"))), lambda s: s["coef"])
+        back = blocks.coefficients(c.groupBy("vec_id").agg(whole.alias("c")), "vec_id", "c", True)
+        return back.select("vec_id", "pos", (F.round("coef", 3) + 0).alias("v"))
+
+    def dwt53_inverse(spark, sf_dir):
+        return signals.unlifted_53(signals.lifted_53(signal(spark, sf_dir), "user_id", "i", "v"), "user_id", "i").select("user_id", "i", "back")
+
+    def dwt97_inverse(spark, sf_dir):
+        return bands.unlifted_97(bands.lifted_97(signal(spark, sf_dir), "user_id", "i", "v"), "user_id", "i").select("user_id", "i", (F.round("back", 6) + 0).alias("back"))
+
     def golden_fixtures(spark, sf_dir):
         return golden(spark).groupBy("name", "comp").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.col("v").cast("long") * (F.col("y") * 3 + F.col("x") + 1)).alias("weighted"))
 
@@ -354,6 +367,7 @@ def build(embedded: Callable, levels: Callable, raster: Callable, rgb: Callable,
         decoder_status_diff, success_rate, compression_ratio, psnr_of_equal_images, raw_scan, file_sinks, ppm_export_rgb, mr_context, ht_quad_context, ht_block_roundtrip, mel_runs,
         golomb_codes, arithmetic_sequence, dwt53_2d_inverse, dwt97_2d_inverse, dwt53_pyramid, dwt53_pyramid_inverse, ac_symbols, standard_code_tables, jpegls_run_modes, golden_fixtures,
         rgb_opposed_ramps, jpeg_standard_tables, marker_segments_sql, image_functions_sql, stripe_scan_order, packet_orders, subband_recomposition, failing_only_in_decoding,
+        idct_values, dwt53_inverse, dwt97_inverse,
     )
     return {f.__name__: f for f in own}
 
@@ -451,6 +465,9 @@ SELECT k::INT AS k, b::INT AS byte, (CASE WHEN n <= 8 THEN q * (1 << k) + (b //
         "packet_orders": "SELECT p AS progression, l::INT AS layer, r::INT AS resolution, c::INT AS component, (CASE p WHEN 'LRCP' THEN l * 9 + r * 3 + c WHEN 'RLCP' THEN r * 6 + l * 3 + c ELSE c * 6 + r * 2 + l END)::INT AS place FROM range(2) a(l), range(3) b(r), range(3) d(c), (VALUES ('LRCP'), ('RLCP'), ('CPRL')) t(p)",
         "subband_recomposition": f"{pyramid} SELECT name, y, x, v AS w FROM p1",
         "failing_only_in_decoding": "SELECT * FROM (VALUES ('c'), ('d')) t(file)",
+        "idct_values": "SELECT vec_id, p::INT AS pos, round(v, 3) + 0 AS v FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding)::DOUBLE * 100 AS v FROM embeddings)",
+        "dwt53_inverse": f"WITH {signal} SELECT user_id, i, v AS back FROM s",
+        "dwt97_inverse": f"WITH {signal} SELECT user_id, i, v::DOUBLE AS back FROM s",
         "golden_fixtures": f"WITH {golds} SELECT name, comp::INT AS comp, count(*) AS n, min(v)::INT AS least, max(v)::INT AS most, sum(v * (y * 3 + x + 1))::BIGINT AS weighted FROM s GROUP BY ALL",
         "rgb_opposed_ramps": "SELECT (range // 128)::INT AS y, (range % 128)::INT AS x, (range % 128 * 255 // 127)::INT AS r, 255 - (range % 128 * 255 // 127)::INT AS g, 128 AS b FROM range(512)",
     }
