@@ -213,7 +213,7 @@ def coded(docs: DataFrame, id: str, text: str, held) -> DataFrame:
 
     spark = docs.sparkSession
     path = shared.folder(spark, "coded")
-    slim.mapInPandas(run, CODED).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    slim.mapInPandas(run, CODED).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(CODED).parquet(path)
 
 
