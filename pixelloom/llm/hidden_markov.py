@@ -238,18 +238,32 @@ def expected(texts: DataFrame, model: Model) -> tuple[tuple, float]:
     return (every[-2], every[CLASSES + 1 : -2], every[: CLASSES + 1]), float(every[-1, 0])
 
 
+#: Tokens whose forward recursion runs at once, about (a longer text alone).
+TOKENS_AT_ONCE = 500_000
+
+
 def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, tuple[np.ndarray, np.ndarray]]]:
-    """Batches of about 500,000 tokens with their classes and offsets."""
+    """The rows in groups of about TOKENS_AT_ONCE tokens, whatever the batches, with their classes and offsets."""
+    held, size = [], 0
     for pdf in batches:
-        if not len(pdf):
-            continue
-        part = np.cumsum(pdf["n"].to_numpy()) // 500_000
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(pdf)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = pdf.iloc[a:b]
-            at = np.zeros(b - a + 1, np.int64)
-            np.cumsum(own["n"].to_numpy(), out=at[1:])
-            yield own, (np.frombuffer(b"".join(own["cls"]), np.uint16), at)
+        part = (size + np.cumsum(pdf["n"].to_numpy())) // TOKENS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part, prepend=0)) if len(pdf) else []), len(pdf)]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if k and held:
+                yield _sequence(held)
+                held, size = [], 0
+            if b > a:
+                held.append(pdf.iloc[a:b])
+        size = sum(int(p["n"].sum()) for p in held)
+    if held:
+        yield _sequence(held)
+
+
+def _sequence(held: list[pd.DataFrame]) -> tuple[pd.DataFrame, tuple[np.ndarray, np.ndarray]]:
+    own = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+    at = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(own["n"].to_numpy(), out=at[1:])
+    return own, (np.frombuffer(b"".join(own["cls"]), np.uint16), at)
 
 
 def word_counts(table: DataFrame) -> tuple[DataFrame, DataFrame]:

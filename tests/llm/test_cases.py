@@ -262,6 +262,20 @@ def test_licenses_of_several_lines(spark):
     assert got == {1: "mit-text", 2: "gpl,gpl-notice", 3: "isc", 4: "", 5: "isc,mit-text"}
 
 
+def test_hidden_markov_groups(monkeypatch):
+    """Groups keep all rows in order, across batches of any size, and hold no more tokens than they should."""
+    monkeypatch.setattr(hidden_markov, "TOKENS_AT_ONCE", 50)
+    r = np.random.default_rng(16)
+    sizes = [*r.integers(1, 30, 60).tolist(), 200, 3, 3]
+    rows = pd.DataFrame({"n": sizes, "cls": [np.full(n, k, np.uint16).tobytes() for k, n in enumerate(sizes)], "d": range(len(sizes))})
+    for cuts in ([0, 63], [0, 1, 1, 20, 21, 62, 63], list(range(64))):
+        got = list(hidden_markov.sequences(rows.iloc[a:b] for a, b in zip(cuts, cuts[1:])))
+        assert [d for own, _ in got for d in own["d"]] == list(range(63))
+        for own, (cls, at) in got:
+            assert at.tolist() == [0, *np.cumsum(own["n"])] and cls.tolist() == [k for k, n in zip(own["d"], own["n"]) for _ in range(n)]
+            assert own["n"].sum() < 100 or len(own) <= 3
+
+
 def test_license_cases(spark):
     rows = [(1, "all rights reserved")] * 2 + [(None, "all rights reserved"), (None, None), (1, "none")]
     got = sorted(((x["doc_id"] or 0, x["n_base"], x["labels"]) for x in licenses.scan(clashing(spark, rows)).collect()))
