@@ -209,6 +209,7 @@ def sketches(sig: pd.Series, odd: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id and kept."""
+    shared.release(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     described = shared.written(own.mapInPandas(_describe, "_id long, _n long, _k1 long, _k2 long, _sig binary, _odd binary"), "signatures")
     classes = described.where("_n > 0 AND _id IS NOT NULL").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep"), F.min_by(F.struct("_sig", "_odd"), "_id").alias("_s")).select("_k1", "_k2", "_n", "_rep", "_s._sig", "_s._odd")
@@ -251,10 +252,15 @@ def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     best = Window.partitionBy("b").orderBy(F.col("r").desc(), "a")
     found = shared.cut(confirmed(rated.withColumn("_k", F.row_number().over(best)).where("_k <= 2").select("a", "b"), sets))
     known = connected(found)
+    large = members.agg(F.max("_many")).first()[0] > BLOCK
     for every in (False, True):
         placed = members.join(known.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
         mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
-        rows = blocked(placed.join(mixed, "_h").join(short, "_rep"))
+        rows = placed.join(mixed, "_h").join(short, "_rep")
+        if large:
+            rows = blocked(rows)
+        else:  # each bucket is one block, and needs no counts
+            rows = rows.drop("_many").select("*", *(F.lit(0).cast("long").alias(c) for c in ("_block", "_i", "_j")))
         met = rows.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs(every), "a long, b long").distinct()
         more = shared.cut(confirmed(met, sets))
         if more.isEmpty():
