@@ -163,7 +163,7 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int
 
     A text's last half is replaced by the beginning of the next text; after the last row comes the first.
     """
-    rows = with_next(docs, id, text, bucket)
+    rows = with_next(docs, id, text, bucket).select(*shared.whole("_id"), "_text", "_bucket", "_tail")
     own = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     least = own.agg(F.min(F.struct(F.col("_id").isNotNull(), "_id")).alias("_f")).first()["_f"]
     wrap = own.where(F.col("_id").eqNullSafe(F.lit(least["_id"]).cast("long"))).agg(F.min("_text")).first()[0] if least else ""
@@ -172,7 +172,7 @@ def compare(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket: int
         held: tuple | None = None  # the last row seen: bucket, id, text, tail; its successor isn't known yet
         for pdf in shared.pieces(batches, "_text", BATCH_BYTES):
             texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
-            ids = [None if pd.isna(i) else int(i) for i in pdf["_id"].astype(object)]
+            ids = [None if none else int(i) for i, none in zip(pdf["_id"], pdf["_null"], strict=True)]
             rows = [*([held] if held else []), *zip(pdf["_bucket"], ids, texts, pdf["_tail"], strict=True)]
             held = rows[-1]
             if len(rows) > 1:

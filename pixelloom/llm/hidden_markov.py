@@ -190,7 +190,7 @@ def coded(docs: DataFrame, id: str, text: str, held) -> DataFrame:
             cut = np.searchsorted(pair, np.arange(len(pdf) + 1) * max(1, len(words)))
             local = base + pair % max(1, len(words))
             for k in range(len(pdf)):
-                rows.append((pdf["id"].iat[k], pdf["held"].iat[k], int(at[k + 1] - at[k]), ends[at[k] : at[k + 1]].tobytes(), local[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]].astype(np.uint32).tobytes()))
+                rows.append((None if pdf["_null"].iat[k] else int(pdf["id"].iat[k]), pdf["held"].iat[k], int(at[k + 1] - at[k]), ends[at[k] : at[k + 1]].tobytes(), local[cut[k] : cut[k + 1]], tf[cut[k] : cut[k + 1]].astype(np.uint32).tobytes()))
             size += len(w.data)
             if size >= CHUNK_BYTES:
                 yield from close(g, rows, lists)
@@ -204,6 +204,7 @@ def coded(docs: DataFrame, id: str, text: str, held) -> DataFrame:
         own[place] = np.concatenate([x[1] for x in lists])
         c = np.bincount(place, np.concatenate([x[2] for x in lists]), len(words)).astype(np.int64)
         frame = pd.DataFrame(rows, columns=["id", "held", "n", "cls", "idx", "tf"])
+        frame["id"] = pd.array([x[0] for x in rows], "Int64")
         frame["idx"] = [place[x].astype(np.uint32).tobytes() for x in frame["idx"]]
         yield frame.assign(kind=0, g=g, d=np.arange(len(frame)), word=None, own=None, c=None)[[x.split()[0] for x in CODED.split(", ")]]
         for a in range(0, len(words), 100_000):
@@ -213,7 +214,7 @@ def coded(docs: DataFrame, id: str, text: str, held) -> DataFrame:
 
     spark = docs.sparkSession
     path = shared.folder(spark, "coded")
-    slim.mapInPandas(run, CODED).write.option("compression", "zstd").parquet(path)
+    slim.select(*shared.whole("id"), "held", "text").mapInPandas(run, CODED).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(CODED).parquet(path)
 
 
@@ -338,12 +339,12 @@ def score(docs: DataFrame, id: str, text: str, held, iterations: int = ITERATION
         for k, (idx, tf) in enumerate(zip(left["idx"], left["tf"], strict=True)):
             i, n = np.frombuffer(idx, np.uint32), np.frombuffer(tf, np.uint32)
             out[k] = n @ (c[i] > 0), n @ base[i], n @ log[i]
-        return pd.DataFrame({"g": left["g"], "d": left["d"], "id": left["id"].astype("Int64"), "held": left["held"], "n": left["n"], "k": out[:, 0].astype(np.int64) + (1 if ends else 0), "base": out[:, 1] + end, "own": out[:, 2]})
+        return pd.DataFrame({"g": left["g"], "d": left["d"], "id": left["id"], "_null": left["_null"], "held": left["held"], "n": left["n"], "k": out[:, 0].astype(np.int64) + (1 if ends else 0), "base": out[:, 1] + end, "own": out[:, 2]})
 
-    left = texts.select("g", "d", "id", "held", "n", "idx", "tf").groupBy("g")
-    met = left.cogroup(counts.groupBy("cg")).applyInPandas(meet, "g long, d long, id long, held boolean, n long, k long, base double, own double")
+    left = texts.select("g", "d", *shared.whole("id"), "held", "n", "idx", "tf").groupBy("g")
+    met = left.cogroup(counts.groupBy("cg")).applyInPandas(meet, "g long, d long, id long, _null boolean, held boolean, n long, k long, base double, own double")
     out = met.join(likes, ["g", "d"])
-    return out.select(F.col("id").alias(id), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("k").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("own") + F.col("ll")).alias("score"))
+    return out.select(shared.unwhole("id").alias(id), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("k").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("own") + F.col("ll")).alias("score"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

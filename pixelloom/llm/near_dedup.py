@@ -112,7 +112,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 odd[d] = np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes()
             for d, s in zip(np.flatnonzero(np.diff(at)), signatures(hashes, at), strict=True):
                 signs[d] = s.tobytes()
-        yield pd.DataFrame({"_id": pdf["_id"], "_n": n, "_k1": keys[0].view(np.int64), "_k2": keys[1].view(np.int64), "_sig": signs, "_odd": odd})
+        yield pd.DataFrame({"_id": pdf["_id"], "_null": pdf["_null"], "_n": n, "_k1": keys[0].view(np.int64), "_k2": keys[1].view(np.int64), "_sig": signs, "_odd": odd})
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +211,8 @@ def dedupe(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     """One row for each row of docs: id, n_shingles, component_id and kept."""
     shared.release(docs.sparkSession)
     own = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    described = shared.written(own.mapInPandas(_describe, "_id long, _n long, _k1 long, _k2 long, _sig binary, _odd binary"), "signatures")
+    described = own.select(*shared.whole("_id"), "_text").mapInPandas(_describe, "_id long, _null boolean, _n long, _k1 long, _k2 long, _sig binary, _odd binary")
+    described = shared.written(described.select(shared.unwhole("_id"), "_n", "_k1", "_k2", "_sig", "_odd"), "signatures")
     classes = described.where("_n > 0 AND _id IS NOT NULL").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep"), F.min_by(F.struct("_sig", "_odd"), "_id").alias("_s")).select("_k1", "_k2", "_n", "_rep", "_s._sig", "_s._odd")
     classes = shared.written(classes, "classes")
     buckets = shared.written(classes.select("_rep", "_sig").mapInPandas(_band_rows, "_h long, _rep long"), "bands")

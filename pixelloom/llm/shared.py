@@ -130,6 +130,16 @@ def drawn(group: str, counts: dict, rows: int, hash: Column) -> Column:
     return out
 
 
+def whole(col: str) -> list[Column]:
+    """The column with 0 for nulls, and whether it is null (as `_null`): of longs with nulls pandas makes floating-point numbers, which hold 53 bits."""
+    return [F.coalesce(F.col(col), F.lit(0).cast("long")).alias(col), F.col(col).isNull().alias("_null")]
+
+
+def unwhole(col: str) -> Column:
+    """The column that `whole` took, with its nulls."""
+    return F.when(~F.col("_null"), F.col(col)).alias(col)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -236,6 +236,24 @@ def test_near_dedup_cases(spark):
     assert got == [(0, 6, 0, True), (0, 6, 0, True), (3, 6, 3, True), (5, 6, 3, False), (5, 6, 3, False), (8, 1, 8, True), (9, 0, 9, True), (9, 1, 8, False)]
 
 
+def test_wide_ids_beside_null_ids(spark):
+    """Ids of 64 bits keep all their digits where null ids stand among them."""
+    ids = [2**53 + 1, 2**53 + 2, 2**62 + 1, 2**63 - 1, -(2**63) + 1, 0]
+    rows = [(i, f"{i} one two three four five six seven eight nine ten eleven twelve") for i in ids] + [(None, "none of this"), (None, None), (2**53 + 3, f"{2**53 + 1} one two three four five six seven eight nine ten eleven twelve")]
+    docs = clashing(spark, rows).coalesce(1)
+    want = collections.Counter(i for i, _ in rows)
+    for out in (
+        fingerprint.compare(docs),
+        fingerprint.compare(docs, bucket=2),
+        near_dedup.dedupe(docs),
+        hidden_markov.score(docs, "doc_id", "text", F.col("doc_id") == 0),
+    ):
+        assert collections.Counter(x["doc_id"] for x in out.collect()) == want
+    linked = {x["doc_id"]: x["component_id"] for x in near_dedup.dedupe(docs).collect() if x["doc_id"] is not None}
+    # All but the first word agree: 8 of 9 shingles, and 8 of 10 of two such sets together.
+    assert set(linked.values()) == {-(2**63) + 1}
+
+
 def test_chat_ties_and_repeats(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", "z"), (2, None, "assistant", "n"), (2, 0, "user", "m")]
     got = {x["conv_id"]: x for x in chat.format_chats(clashing(spark, rows, "conv_id long, turn long, role string, text string")).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
