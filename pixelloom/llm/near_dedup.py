@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import connected
+from .components import connected, extended
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 MINIMA, ROWS = 128, 4
@@ -154,7 +154,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, group: int = GROUP) -> DataFram
     """The pairs(a, b) whose sets reach the similarity. Of a document with many partners a set goes to every `group` of them."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).alias("_groups"))
     dealt = pairs.join(many, "a").select(F.col("a").alias("_a"), F.pmod(F.xxhash64("b"), F.col("_groups")).alias("_c"), "b")
-    rows = dealt.select("_a", "_c", F.col("b").alias("_doc"), F.lit(1).alias("_place")).unionAll(dealt.select("_a", "_c").distinct().select("_a", "_c", F.col("_a").alias("_doc"), F.lit(0).alias("_place")))
+    firsts = many.select(F.col("a").alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)).alias("_c"), F.col("a").alias("_doc"), F.lit(0).alias("_place"))
+    rows = dealt.select("_a", "_c", F.col("b").alias("_doc"), F.lit(1).alias("_place")).unionAll(firsts)
     met = rows.join(sets, "_doc")
     return met.repartition("_a", "_c").sortWithinPartitions("_a", "_c", "_place").select("_a", "_c", "_doc", "_set").mapInPandas(_confirm, "a long, b long")
 
@@ -251,23 +252,27 @@ def links(members: DataFrame, sets: DataFrame, short: DataFrame) -> DataFrame:
     a, b = (short.withColumnsRenamed({"_rep": x, "_sig": f"_s{x}", "_odd": f"_o{x}", "_n": f"_n{x}"}) for x in "ab")
     rated = pairs.join(b, "b").join(a, "a").mapInPandas(_rate, "a long, b long, r double")
     best = Window.partitionBy("b").orderBy(F.col("r").desc(), "a")
-    found = shared.cut(confirmed(rated.withColumn("_k", F.row_number().over(best)).where("_k <= 2").select("a", "b"), sets))
-    known = connected(found)
+    # `confirmed` reads its pairs more than once, so they are cut before: else each reading makes them anew.
+    chosen = shared.cut(rated.withColumn("_k", F.row_number().over(best)).where("_k <= 2").select("a", "b"))
+    known = connected(confirmed(chosen, sets))
     large = members.agg(F.max("_many")).first()[0] > BLOCK
+    rows = None
     for every in (False, True):
-        placed = members.join(known.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
-        mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
-        rows = placed.join(mixed, "_h").join(short, "_rep")
+        if rows is None:
+            placed = members.join(known.withColumnRenamed("node", "_rep"), "_rep", "left").select("_h", "_rep", "_many", F.coalesce("component", "_rep").alias("_comp"))
+            mixed = placed.groupBy("_h").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select("_h")
+            rows = shared.written(placed.join(mixed, "_h").join(short.select("_rep", "_n"), "_rep"), "mixed")
         if large:
-            rows = blocked(rows)
+            dealt = blocked(rows)
         else:  # each bucket is one block, and needs no counts
-            rows = rows.drop("_many").select("*", *(F.lit(0).cast("long").alias(c) for c in ("_block", "_i", "_j")))
-        met = rows.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs(every), "a long, b long").distinct()
+            dealt = rows.drop("_many").select("*", *(F.lit(0).cast("long").alias(c) for c in ("_block", "_i", "_j")))
+        dealt = dealt.join(short.drop("_n"), "_rep")
+        met = shared.cut(dealt.repartition("_h", "_i", "_j").sortWithinPartitions("_h", "_i", "_j").mapInPandas(_bucket_pairs(every), "a long, b long").distinct())
+        if met.isEmpty():  # no pair passes the tests, so there is none for all pairs either
+            break
         more = shared.cut(confirmed(met, sets))
-        if more.isEmpty():
-            continue
-        found = shared.cut(found.unionAll(more))
-        known = connected(found)
+        if not more.isEmpty():
+            known, rows = extended(known, more), None
     return known
 
 

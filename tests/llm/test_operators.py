@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pixelloom.llm import chat, decontaminate, fingerprint, hidden_markov, language_id, licenses, near_dedup, packing, shared, toxicity, warc
+from pixelloom.llm import chat, components, decontaminate, fingerprint, hidden_markov, language_id, licenses, near_dedup, packing, shared, toxicity, warc
 
 SYLLABLES = "ka lo mi ten ru sha ve po ni dar el qu is ost".split()
 FOLD = str.maketrans(shared.UPPER, shared.LOWER)
@@ -77,6 +77,47 @@ def test_near_dedup(spark):
     assert near_dedup.dedupe(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_makes_pairs_once(spark, monkeypatch):
+    """Pairs are cut from what made them before sets are compared; links that only the second round finds, in blocks."""
+    r = random.Random(22)
+    seen, confirmed = [], near_dedup.confirmed
+
+    def spied(pairs, *args):
+        seen.append(pairs._jdf.queryExecution().analyzed().toString())
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(near_dedup, "confirmed", spied)
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    rows = []
+    for k in range(2):  # the documents of least ids share buckets with the near copies behind them, but are not like them
+        base = prose(r, 80).split()
+        for i in range(66):
+            own = list(base)
+            for place in r.sample(range(80), 4 if i < 60 else 1):
+                own[place] = f"new{r.random()}"
+            rows.append((100 * k + i, " ".join(own)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.dedupe(documents(spark, rows)).collect()}
+    assert got == near_brute(rows)
+    assert len(seen) > 1 and not any("MapInPandas" in plan for plan in seen)
+
+
+def test_components_extended(spark):
+    """Components of edges that come in two parts, with null ends and loops."""
+    r = random.Random(23)
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for many in (0, 90):
+        parts = [[*((r.randrange(120), r.randrange(120)) for _ in range(n)), (None, 3), (5, None), (7, 7)] for n in (many, 40)]
+        least = {i: i for i in range(120)}
+        for _ in range(120):
+            for a, b in itertools.chain(*parts):
+                if a is not None and b is not None:
+                    least[a] = least[b] = min(least[a], least[b])
+        want = sorted((i, c) for i, c in least.items() if i != c)
+        known = components.connected(table(parts[0]))
+        assert sorted(map(tuple, components.extended(known, table(parts[1])).collect())) == want
+        assert sorted(map(tuple, components.connected(table(parts[0] + parts[1])).collect())) == want
+
+
 def test_near_dedup_in_many_blocks(spark, monkeypatch):
     """Buckets of several blocks and cells of sizes: every pair of documents that may be linked meets in exactly one pair of blocks."""
     r = random.Random(21)
