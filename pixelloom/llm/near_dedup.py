@@ -15,9 +15,10 @@ Links are found in rounds, without all pairs of a band's bucket; after each the
 1. each document with the smallest id of each of its buckets, the two most alike of them;
 2. in each bucket that still has more than one component, each document with the most alike one of each other component;
 3. in each such bucket, all pairs of different components that pass the two tests.
-Pairs of one component need no further link. Large buckets are cut into blocks, so that no task holds one whole: sets whose
-sizes differ by more than the similarity allows can't be linked, so documents are put into cells by the logarithm of
-their set's size, and a block meets those of its own cell and of the two beside it only.
+Pairs of one component need no further link; links of rounds 2 and 3 join the components before them. Large buckets
+are cut into blocks, so that no task holds one whole: sets whose sizes differ by more than the similarity allows can't
+be linked, so documents are put into cells by the logarithm of their set's size, and a block meets those of its own cell
+and of the two beside it only.
 
 Defined results: null and empty texts, or those of white space, have an empty set and no link; null ids are never
 linked; rows with equal ids and texts are one document (rows with equal ids and other texts are compared text by text and
